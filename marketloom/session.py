@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +31,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def write_out(df: DataFrame) -> tuple[DataFrame, str]:
+    """Write a table into the shared checkpoint folder and read it back: (table, path).
+
+    For loops: unlike checkpoint(), the new plan carries no constraints of the old one, and the
+    files can be removed with drop_written() once the next round stands.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def drop_written(spark: SparkSession, *paths: str) -> None:
+    """Remove tables of write_out()."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in paths:
+        at = hadoop(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def clean_key(column: Column | str) -> Column:
     """A key without the blanks around it; otherwise exact. A key of blanks only becomes null."""
     trimmed = F.btrim(column if isinstance(column, Column) else F.col(column), F.lit(BLANKS))
