@@ -1,10 +1,10 @@
 """Groups of records linked directly or indirectly.
 
-Minimum labels are propagated along the edges and hooked onto the labels they replace, then
-pointers are jumped to their roots; the round's result is checkpointed, the graph is contracted
-to the roots and the next round works on what is left. Contraction removes the edges inside a
-finished group, so a group that owns a third of all edges is gone after a few rounds instead of
-being joined again and again.
+Every node takes the minimum label among its neighbours, pointers are jumped to their roots, and
+the graph is contracted to the roots; the next round works on what is left, until no label
+changes. Each step is written to the shared checkpoint folder. Contraction removes the edges
+inside a finished group, so a group that owns a third of all edges is gone after a few rounds
+instead of being joined again and again, and each round's table of roots is smaller than the last.
 """
 
 from __future__ import annotations
@@ -12,19 +12,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketloom.session import clean_key, cut_lineage
+from marketloom.session import clean_key, drop_written, write_out
 
 
-def _jump(parent: DataFrame) -> DataFrame:
-    """(node, parent) with every parent a root; parent[v] <= v, so there are no cycles."""
+def _roots(edges: DataFrame) -> DataFrame:
+    """(node, root) for every end of an edge: minimum neighbours, then pointers jumped to the end."""
+    spark = edges.sparkSession
+    both = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("m")), F.struct(F.col("b").alias("node"), F.col("a").alias("m")))).alias("e")).select("e.*")
+    # a label never exceeds its node, so pointers have no cycles
+    pointers, path = write_out(both.groupBy("node").agg(F.min("m").alias("m")).select("node", F.least("node", "m").alias("root")))
     while True:
-        up = parent.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-        moving = parent.where("node != parent").select("parent").distinct().join(up.where("parent != grand"), "parent")
-        moving = cut_lineage(moving)
-        if moving.isEmpty():
-            return parent
-        # AQE splits the rows of a busy parent; the other side has one row per parent
-        parent = cut_lineage(parent.join(moving, "parent", "left").select("node", F.coalesce("grand", "parent").alias("parent")))
+        # one row per root on the right: AQE splits the rows of a busy root on the left
+        up = pointers.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        top = pointers.select(F.col("node").alias("above"), F.col("root").alias("top"))
+        twice = pointers.join(up, "root").join(top, "above")
+        jumped, new_path = write_out(twice.select("node", F.col("top").alias("root"), (F.col("top") != F.col("root")).alias("moved")))
+        drop_written(spark, path)
+        pointers, path = jumped.select("node", "root"), new_path
+        if jumped.where("moved").isEmpty():
+            return pointers
 
 
 def group_links(links: DataFrame, source: str, target: str, *, max_rounds: int = 100) -> DataFrame:
@@ -34,19 +40,30 @@ def group_links(links: DataFrame, source: str, target: str, *, max_rounds: int =
     reversed and self-links change nothing, a node named only by a self-link is its own group.
     Strings order by their bytes. Other columns are ignored. An empty table gives an empty result.
     """
-    pairs = links.select(clean_key(source).alias("a"), clean_key(target).alias("b")).where("a is not null and b is not null")
-    pairs = cut_lineage(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    label = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("root", F.col("node"))
-    edges = pairs.where("a != b")
-    for _ in range(max_rounds):
-        if edges.isEmpty():
-            return label.select("node", F.col("root").alias("group"))
-        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
-        parent = cut_lineage(least.select("node", F.least("node", "m").alias("parent")))
-        root = _jump(parent).select(F.col("node").alias("root"), F.col("parent").alias("new_root"))
-        label = cut_lineage(label.join(root, "root", "left").select("node", F.coalesce("new_root", "root").alias("root")))
-        ends = lambda c: root.select(F.col("root").alias(c), F.col("new_root").alias(f"{c}_root"))
-        moved = edges.join(ends("a"), "a").join(ends("b"), "b").select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b"))
-        edges = cut_lineage(moved.where("a != b").distinct())
-    raise RuntimeError(f"labels still change after {max_rounds} rounds")
+    spark = links.sparkSession
+    ends = links.select(clean_key(source).alias("a"), clean_key(target).alias("b")).where("a is not null and b is not null")
+    pairs, path = write_out(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    alone = pairs.where("a = b").select(F.col("a").alias("node"))
+    edges, old = pairs.where("a != b"), None
+    rounds: list[DataFrame] = []
+    while not edges.isEmpty():
+        if len(rounds) == max_rounds:
+            raise RuntimeError(f"labels still change after {max_rounds} rounds")
+        roots = _roots(edges)
+        rounds.append(roots)
+        end = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))  # noqa: B023, E731
+        moved = edges.join(end("a"), "a").join(end("b"), "b").select(F.least("a_root", "b_root").alias("a"), F.greatest("a_root", "b_root").alias("b"))
+        edges, new = write_out(moved.where("a != b").distinct())
+        if old:
+            drop_written(spark, old)
+        old = new
+    group = None
+    for roots in reversed(rounds):
+        if group is None:
+            group = roots
+            continue
+        above = group.select(F.col("node").alias("root"), F.col("root").alias("above"))
+        group = roots.join(above, "root", "left").select("node", F.coalesce("above", "root").alias("root"))
+    lone = alone if group is None else alone.join(group, "node", "left_anti")
+    lone = lone.select("node", F.col("node").alias("group"))
+    return lone if group is None else group.select("node", F.col("root").alias("group")).unionByName(lone)
