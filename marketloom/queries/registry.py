@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marketloom.queries import training
+from marketloom.queries import training, windows
 
-MODULES = [training]
+MODULES = [training, windows]
 
 
 def queries() -> dict:
