@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marketloom.queries import training, windows
+from marketloom.queries import relations, training, windows
 
-MODULES = [training, windows]
+MODULES = [training, windows, relations]
 
 
 def queries() -> dict:

@@ -91,7 +91,8 @@ def win_out_of_order(spark, d):
 def win_ffill(spark, d):
     """O-W15, O-J20: calendar of the market by symbol, closes carried forward."""
     x = daily_bars(spark, d).select("symbol", "ts", "close")
-    spine = x.select("ts").distinct().withColumn("symbols", F.lit(1)).join(x.select("symbol").distinct().withColumn("symbols", F.lit(1)), "symbols").drop("symbols")
+    days = x.select(F.collect_set("ts")).scalar()  # no more than calendar days
+    spine = x.select("symbol").distinct().select("symbol", F.explode(days).alias("ts"))
     full = spine.join(x, ["symbol", "ts"], "left")
     return full.select("symbol", "ts", F.last("close", ignorenulls=True).over(NOW()).alias("close"))
 
