@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marketloom.queries import relations, training, windows
+from marketloom.queries import relations, strategies, training, windows
 
-MODULES = [training, windows, relations]
+MODULES = [training, windows, relations, strategies]
 
 
 def queries() -> dict:
