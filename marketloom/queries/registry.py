@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marketloom.queries import relations, strategies, training, windows
+from marketloom.queries import relations, research, strategies, training, windows
 
-MODULES = [training, windows, relations, strategies]
+MODULES = [training, windows, relations, strategies, research]
 
 
 def queries() -> dict:
