@@ -48,6 +48,20 @@ def bt_rotation(spark, d):
     return B.rotation(shared).select("i", "ts", "picks", r6(F.col("growth")).alias("growth"))
 
 
+def bt_forest(spark, d):
+    """O-S11: hit rate of a random forest on unseen rows, by symbol."""
+    from marketloom.operators.model import forest_positions
+
+    return forest_positions(daily_bars(spark, d)).groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), r6(F.avg((F.col("target") == F.col("position")).cast("int"))).alias("hit_rate"))
+
+
+def paper_trades(spark, d):
+    """O-S9: the stateful trader replayed over daily bars."""
+    from marketloom.streaming.bars import trade_batch
+
+    return trade_batch(daily_bars(spark, d).withColumn("ts", F.col("ts").cast("timestamp")))
+
+
 def orb_tradable(spark, d):
     """O-S2, O-F7: sessions with every required bar."""
     return D.tradable_sessions(hourly_bars(spark, d), REQUIRED)
@@ -110,7 +124,7 @@ def orb_scenarios(spark, d):
     return out
 
 
-_NAMES = "bt_equity bt_trades bt_report bt_stops bt_rotation orb_tradable orb_signals orb_trades orb_portfolio orb_summary orb_benchmark orb_entry_times orb_scenarios"
+_NAMES = "bt_equity bt_trades bt_report bt_stops bt_rotation bt_forest paper_trades orb_tradable orb_signals orb_trades orb_portfolio orb_summary orb_benchmark orb_entry_times orb_scenarios"
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 _W = "(partition by symbol order by ts"
