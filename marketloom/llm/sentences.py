@@ -58,7 +58,7 @@ _PAIRED = regex.compile(r"[“”„«»「」『』‘’‹›()\[\]（）［
 _BLANK_LINE = regex.compile(r"\r?\n(?:[^\S\n]*\r?\n)+|\r(?:[^\S\n\r]*\r)+")
 _SPACE = regex.compile(r"\s*")
 _DASH_ASIDE = regex.compile(r"([—–])\s*[^—–.!?…\n。！？]{1,40}[.!?…。！？]+\s*\1")
-_MARKER = regex.compile(r"\w{1,3}")
+_MARKER = regex.compile(r"[0-9]{1,3}|[A-Za-z]|[ivxIVX]{2,4}")
 
 
 def _trie(kinds: dict[str, str]) -> dict:
