@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marketloom.queries import relations, research, strategies, training, windows
+from marketloom.queries import domain, relations, research, strategies, training, windows
 
-MODULES = [training, windows, relations, strategies, research]
+MODULES = [training, windows, relations, strategies, research, domain]
 
 
 def queries() -> dict:

@@ -21,7 +21,7 @@ def _positions(spark, d):
 
 def bt_equity(spark, d):
     """O-S1 without stops: equity of the 5/20 crossover."""
-    return B.equity_curve(_positions(spark, d)).select("symbol", "ts", "held", r6(F.col("equity") / 1e6).alias("equity_m"))
+    return B.equity_curve(_positions(spark, d)).select("symbol", "ts", "held", r6(F.log("equity")).alias("log_equity"))
 
 
 def bt_trades(spark, d):
@@ -160,7 +160,7 @@ trades as (select *, gross_pnl - slippage - total_charges as net_pnl from t)"""
 _ORB = _orb(COSTS.slippage_bps)
 _R = "round({0}, 6) + 0.0 as {0}"
 SQL = {
-    "bt_equity": f"with {_POS} select symbol, ts, held, round(equity / 1e6, 6) + 0.0 as equity_m from eq",
+    "bt_equity": f"with {_POS} select symbol, ts, held, round(ln(equity), 6) + 0.0 as log_equity from eq",
     "bt_trades": f"with {_POS} select symbol, entry_ts, entry, exit_ts, exit, {_R.format('pnl_pct')} from trades",
     "bt_report": f"""with {_POS}, p as (select *, max(equity) over {_W} rows unbounded preceding) as peak, equity / lag(equity) over {_W}) - 1 as r from eq),
 a as (select symbol, arg_max(equity, ts) / 100000 as total, arg_max(close, ts) / arg_min(open, ts) as bh, min((equity - peak) / peak) * 100 as dd, (max(ts) - min(ts)) / 365.25::double as years, count(r) as n, avg(r) as m, stddev_samp(r) as sd, avg(held) * 100 as ex from p group by 1),

@@ -45,9 +45,9 @@ def win_drawdown(spark, d):
 
 
 def win_wealth(spark, d):
-    """O-W7: running product of growth."""
+    """O-W7: logarithm of the running product of growth."""
     x = daily_bars(spark, d).withColumn("g", F.coalesce(I.change("close", 1), F.lit(0.0)) / 100 + 1)
-    return x.select("symbol", "ts", r6(F.product("g").over(NOW())).alias("wealth"))
+    return x.select("symbol", "ts", r6(F.log(F.product("g").over(NOW()))).alias("log_wealth"))
 
 
 def win_formation(spark, d):
@@ -162,7 +162,7 @@ SQL = {
     "win_crossover": f"with {BARS}, a as (select symbol, ts, {_SMA[5]} as f, {_SMA[20]} as s from bars) select symbol, ts, coalesce(f > s, false)::int as position from a",
     "win_pct_change": f"with {BARS}, a as (select symbol, ts, close, close / lag(close) over {_W}) - 1 as c1 from bars) select symbol, ts, round(c1, 6) + 0.0 as chg_1, round(close / lag(close, 5) over {_W}) - 1, 6) + 0.0 as chg_5, round(lead(c1) over {_W}), 6) + 0.0 as next_chg, round({_SD.format(c='c1')}, 6) + 0.0 as vol_20 from a",
     "win_drawdown": f"with {BARS}, a as (select symbol, ts, close, max(close) over {_W} rows unbounded preceding) as peak from bars) select symbol, ts, peak, round((close - peak) / peak * 100, 6) + 0.0 as drawdown_pct from a",
-    "win_wealth": f"with {BARS}, a as (select symbol, ts, coalesce(close / lag(close) over {_W}) - 1, 0) / 100 + 1 as g from bars) select symbol, ts, round(product(g) over {_W} rows unbounded preceding), 6) + 0.0 as wealth from a",
+    "win_wealth": f"with {BARS}, a as (select symbol, ts, coalesce(close / lag(close) over {_W}) - 1, 0) / 100 + 1 as g from bars) select symbol, ts, round(ln(product(g) over {_W} rows unbounded preceding)), 6) + 0.0 as log_wealth from a",
     "win_formation": f"with {MONTHS}, a as (select *, sum(ln(1 + value / 1e9)) over (partition by entity order by month rows unbounded preceding) as s from months) select entity, month, round(exp(lag(s, 1) over w - lag(s, 12) over w) - 1, 6) + 0.0 as formation from a window w as (partition by entity order by month)",
     "win_expanding_median": f"with {MONTHS} select entity, month, round(quantile_cont(value, 0.5) over (partition by entity order by month rows unbounded preceding), 6) + 0.0 as median_so_far from months",
     "win_cumcount": f"with {MONTHS} select entity, month, row_number() over (partition by month order by value desc, entity) as place from months",
