@@ -36,3 +36,21 @@ def sign_flip(trades: DataFrame, *, replicates: int, seed: int) -> DataFrame:
     observed = trades.agg(F.sum(net)).scalar()
     x = draws.withColumn("observed", observed)
     return x.groupBy("observed").agg(F.count(F.lit(1)).alias("replicates"), F.count_if(F.col("net") >= F.col("observed")).alias("at_least")).withColumn("p", (F.col("at_least") + 1) / (F.col("replicates") + 1))
+
+
+def random_entry(bars: DataFrame, *, first: str, last: str, exit_time: str, replicates: int) -> DataFrame:
+    """(replicate, n, gross): per replicate one random bar and side in each session, out at exit_time's open.
+
+    The draw is a hash of symbol, session and replicate, so it stays on the JVM, does not depend on
+    partitions, and repeats. Sessions without the exit bar or an eligible bar take no part.
+    """
+    eligible = F.col("time").between(first, last)
+    per = bars.groupBy("symbol", "session").agg(
+        F.array_sort(F.collect_list(F.when(eligible, F.struct("time", "open")))).alias("bars"), F.max(F.when(F.col("time") == exit_time, F.col("open"))).alias("out")
+    )
+    per = per.where((F.size("bars") > 0) & F.col("out").isNotNull())
+    x = per.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    draw = F.xxhash64("symbol", "session", "replicate")
+    entry = F.get("bars", F.pmod(F.shiftright(draw, 8), F.size("bars")).cast("int"))["open"]
+    side = F.when(F.pmod(draw, F.lit(2)) == 0, 1.0).otherwise(-1.0)
+    return x.select("replicate", (side * (F.col("out") - entry)).alias("g")).groupBy("replicate").agg(F.count(F.lit(1)).alias("n"), F.sum("g").alias("gross"))
