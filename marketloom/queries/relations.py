@@ -102,12 +102,16 @@ def join_theta_change(spark, d):
 
 
 def join_jump_pairs(spark, d):
-    """O-J14: a jump and its reversal within 2 to 20 rows of the same symbol."""
+    """O-J14: a jump beyond ln 1.4 and its reversal within 2 to 20 rows of the same symbol.
+
+    Rows are numbered and bucketed by 20, so a reversal lies in its jump's bucket or the next one.
+    """
     w = Window.partitionBy("symbol").orderBy("ts")
-    x = daily_bars(spark, d).select("symbol", "ts", F.row_number().over(w).alias("i"), F.log(F.col("close") / F.lag("close").over(w)).alias("lr")).where("abs(lr) > 1.5")
-    a, b = x.alias("a"), x.alias("b")
+    x = daily_bars(spark, d).select("symbol", "ts", F.row_number().over(w).alias("i"), F.log(F.col("close") / F.lag("close").over(w)).alias("lr")).where(F.abs("lr") > F.log(F.lit(1.4)))
+    x = x.withColumn("k", F.floor(F.col("i") / 20))
+    a, b = x.withColumn("k", F.explode(F.array("k", F.col("k") + 1))).alias("a"), x.alias("b")
     c = F.col
-    j = a.join(b, (c("a.symbol") == c("b.symbol")) & (c("b.i") - c("a.i") > 1) & (c("b.i") - c("a.i") <= 20) & (F.signum("b.lr") == -F.signum("a.lr")) & (F.abs(c("a.lr") + c("b.lr")) < 0.15))
+    j = a.join(b, (c("a.symbol") == c("b.symbol")) & (c("a.k") == c("b.k")) & (c("b.i") - c("a.i") > 1) & (c("b.i") - c("a.i") <= 20) & (F.signum("b.lr") == -F.signum("a.lr")) & (F.abs(c("a.lr") + c("b.lr")) < 0.15))
     return j.select(c("a.symbol").alias("symbol"), c("a.ts").alias("jump"), c("b.ts").alias("reversal"))
 
 
