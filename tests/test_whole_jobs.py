@@ -4,7 +4,7 @@ import math
 import random
 from datetime import date, timedelta
 
-from marketloom.queries import registry
+from marketloom.queries import registry, research
 
 
 def _write(spark, folder, name, rows, schema):
@@ -30,3 +30,27 @@ def test_jump_pairs_beyond_the_reference_cut(spark, tmp_path):
         big = [i for i, v in enumerate(lr) if abs(v) > math.log(1.4)]
         want += [(s, x[i][2], x[j][2]) for i in big for j in big if 1 < j - i <= 20 and lr[i] * lr[j] < 0 and abs(lr[i] + lr[j]) < 0.15]
     assert _rows(spark, tmp_path, "join_jump_pairs") == sorted(want) and len(want) > 100
+
+
+def _ladder_tables(spark, folder, absent=lambda nation, day: False):
+    """Seven nations of one customer and one supplier, orders in 18 months, shipments on every day but the absent ones; (months, days)."""
+    rng, days = random.Random(9), [date(1998, 12, 1) + timedelta(i) for i in range(290)]
+    orders, lines = [], []
+    for nation in range(7):
+        for m in range(18):
+            orders.append((len(orders), nation, date(1998 + m // 12, m % 12 + 1, 15), float(rng.randint(100, 900))))
+        for day in days:
+            if not absent(nation, day):
+                lines.append((nation, day, float(rng.choice([rng.randint(10**5, 4 * 10**6), 15000]))))
+    _write(spark, folder, "orders", orders, "o_orderkey bigint, o_custkey bigint, o_orderdate date, o_totalprice double")
+    _write(spark, folder, "lineitem", lines, "l_suppkey bigint, l_shipdate date, l_extendedprice double")
+    _write(spark, folder, "customer", [(n, n) for n in range(7)], "c_custkey bigint, c_nationkey int")
+    _write(spark, folder, "supplier", [(n, n) for n in range(7)], "s_suppkey bigint, s_nationkey int")
+    return lines, days
+
+
+def test_the_ladder_reads_every_day(spark, tmp_path):
+    lines, _ = _ladder_tables(spark, tmp_path)
+    got = sorted(tuple(r) for r in research._daily(spark, str(tmp_path)).collect())
+    assert got == sorted((n, day, v / 1e8, v > 20000) for n, day, v in lines)
+    assert _rows(spark, tmp_path, "ladder_gaps") == []
