@@ -21,32 +21,64 @@ def legs(scores: DataFrame, *, share: float = 0.3) -> DataFrame:
     return x.select("t", "entity", F.when(F.col("i") <= F.col("k"), "W").when(F.col("i") > F.col("n") - F.col("k"), "L").alias("leg")).where("leg is not null")
 
 
-def held_returns(members: DataFrame, daily: DataFrame) -> DataFrame:
-    """(t, leg, growth): members (t, entity, leg) held over the month t, days of daily (entity, date, ret, ok).
+def calendar(days: DataFrame) -> DataFrame:
+    """(t, s_plus, s_pp): for each month t of the sessions (date), the first session after its end and the first after the next month's end.
+
+    Null where the calendar doesn't reach that far; s_pp is also null if the next month has no session.
+    """
+    months = days.groupBy(F.trunc("date", "MM").alias("t")).agg(F.min("date").alias("first"))
+    w = Window.partitionBy(F.lit(0)).orderBy("t")
+    follows = F.lead("t").over(w) == F.add_months("t", 1)
+    return months.select("t", F.lead("first").over(w).alias("s_plus"), F.when(follows, F.lead("first", 2).over(w)).alias("s_pp"))
+
+
+def _positions(members: DataFrame, daily: DataFrame) -> DataFrame:
+    """members with s_plus and s_pp of the panel's own sessions; only those whose holding period is complete."""
+    return members.join(calendar(daily.select("date").distinct()).where("s_plus is not null and s_pp is not null"), "t")
+
+
+def gap_bookings(members: DataFrame, daily: DataFrame) -> DataFrame:
+    """(t, leg, entity, booked, ret): members (t, entity, leg) without a row at s_pp, with the first later day and its return.
+
+    Both are null for members that never come back. A booking depends only on the members and the
+    rows present, not on bookings of earlier months; a day may be booked from several months.
+    """
+    held = _positions(members, daily)
+    gone = held.join(daily.select("entity", F.col("date").alias("s_pp")).distinct(), ["entity", "s_pp"], "left_anti")
+    marks = daily.select("entity", "date", F.struct("date", "ret").alias("_mark"))
+    asks = gone.select("entity", F.col("s_pp").alias("date"), "t", "leg")
+    w = Window.partitionBy("entity").orderBy("date").rangeBetween(Window.currentRow, Window.unboundedFollowing)
+    x = asks.unionByName(marks, allowMissingColumns=True).withColumn("_next", F.min("_mark").over(w))
+    return x.where("t is not null").select("t", "leg", "entity", F.col("_next.date").alias("booked"), F.col("_next.ret").alias("ret"))
+
+
+def held_returns(members: DataFrame, daily: DataFrame, *, delisted: float = -0.3) -> DataFrame:
+    """(t, leg, growth, n): members (t, entity, leg) bought at s_plus and sold at s_pp, days of daily (entity, date, ret, ok) in (s_plus, s_pp].
 
     A member's day that is not ok gets the mean of the ok members of its leg on that day, 0 if
     there is none; a member's growth is the product of its days, a leg's the mean of its members.
+    A member without a row at s_pp also gets the return of its first later row, ok or not, or
+    delisted if it never comes back; a row booked so counts in no later month of the same leg,
+    neither for the member nor in the mean. Members without any day still count. Months whose
+    s_pp the panel doesn't reach are left out.
     """
-    d = daily.select("entity", F.trunc("date", "MM").alias("t"), "date", "ret", "ok")
-    x = members.join(d, ["entity", "t"])
+    held = _positions(members, daily)
+    gaps = gap_bookings(members, daily)
+    d = daily.withColumn("_m", F.trunc("date", "MM"))
+    # the days in (s_plus, s_pp] lie in at most the months from that of s_plus to that of s_pp
+    months = F.explode(F.sequence(F.trunc("s_plus", "MM"), F.trunc("s_pp", "MM"), F.expr("interval 1 month")))
+    x = held.withColumn("_m", months).join(d, ["entity", "_m"]).where("date > s_plus and date <= s_pp").drop("_m")
+    used = gaps.where("booked is not null").groupBy("leg", "entity", F.col("booked").alias("date")).agg(F.min("t").alias("_t"))
+    x = x.join(used, ["leg", "entity", "date"], "left").where("_t is null or _t >= t")
     fill = F.avg(F.when(F.col("ok"), F.col("ret"))).over(Window.partitionBy("t", "leg", "date"))
     x = x.withColumn("r", F.when(F.col("ok"), F.col("ret")).otherwise(F.coalesce(fill, F.lit(0.0))))
-    each = x.groupBy("t", "leg", "entity").agg(F.product(1 + F.col("r")).alias("g"))
+    days = x.groupBy("t", "leg", "entity").agg(F.product(1 + F.col("r")).alias("g"))
+    ends = gaps.select("t", "leg", "entity", (1 + F.coalesce("ret", F.lit(delisted))).alias("end"))
+    each = held.select("t", "leg", "entity").join(days, ["t", "leg", "entity"], "left").join(ends, ["t", "leg", "entity"], "left")
+    each = each.withColumn("g", F.coalesce("g", F.lit(1.0)) * F.coalesce("end", F.lit(1.0)))
     return each.groupBy("t", "leg").agg((F.avg("g") - 1).alias("growth"), F.count(F.lit(1)).alias("n"))
 
 
-def gap_bookings(members: DataFrame, daily: DataFrame) -> DataFrame:
-    """(t, entity, booked): members without a day in month t that come back later, with the first later day."""
-    d = daily.select("entity", "date")
-    here = d.select("entity", F.trunc("date", "MM").alias("t")).distinct()
-    gone = members.select("t", "entity").distinct().join(here, ["entity", "t"], "left_anti")
-    marks = d.select("entity", "date").withColumn("_mark", F.col("date"))
-    asks = gone.select("entity", F.last_day("t").alias("date"), "t")
-    w = Window.partitionBy("entity").orderBy("date").rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    x = asks.unionByName(marks, allowMissingColumns=True).withColumn("booked", F.min("_mark").over(w))
-    return x.where("t is not null").select("t", "entity", "booked")
-
-
 def turnover(members: DataFrame) -> DataFrame:
     """(t, leg, traded): sum of absolute weight changes against the month before; equal weights."""
     weight = 1.0 / F.count(F.lit(1)).over(Window.partitionBy("t", "leg"))

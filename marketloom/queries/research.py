@@ -128,14 +128,14 @@ def _daily(spark, d):
 
 
 def ladder_holding(spark, d):
-    """O-S19, O-S20, O-P14: growth of each leg over its month, bad days filled with the leg's mean."""
+    """O-S19 to O-S21, O-P14: growth of each leg from s+ to s++, bad days filled with the leg's mean, exit gaps and delistings booked."""
     x = L.held_returns(_members(spark, d), _daily(spark, d))
     return x.select("t", "leg", r6(F.col("growth")).alias("growth"), "n")
 
 
 def ladder_gaps(spark, d):
-    """O-S21: members without a day in their month and the first later day booked for them."""
-    return L.gap_bookings(_members(spark, d), _daily(spark, d))
+    """O-S21: members without a day at s++ and the first later day booked for them, null if there is none."""
+    return L.gap_bookings(_members(spark, d), _daily(spark, d)).select("t", "entity", "booked")
 
 
 def ladder_delta(spark, d):

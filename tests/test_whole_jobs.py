@@ -33,12 +33,15 @@ def test_jump_pairs_beyond_the_reference_cut(spark, tmp_path):
 
 
 def _ladder_tables(spark, folder, absent=lambda nation, day: False):
-    """Seven nations of one customer and one supplier, orders in 18 months, shipments on every day but the absent ones; (months, days)."""
+    """Seven nations of one customer and one supplier, orders in 18 months, shipments on every day but the absent ones: (shipments, days).
+
+    Orders of 1 and 3 rise from 1999 on, those of 2 and 4 fall, so these stay in their legs.
+    """
     rng, days = random.Random(9), [date(1998, 12, 1) + timedelta(i) for i in range(290)]
     orders, lines = [], []
     for nation in range(7):
         for m in range(18):
-            orders.append((len(orders), nation, date(1998 + m // 12, m % 12 + 1, 15), float(rng.randint(100, 900))))
+            orders.append((len(orders), nation, date(1998 + m // 12, m % 12 + 1, 15), rng.randint(95, 105) * ({1: 2.0, 3: 1.8, 2: 0.5, 4: 0.6}.get(nation, 1.0) if m >= 12 else 1.0)))
         for day in days:
             if not absent(nation, day):
                 lines.append((nation, day, float(rng.choice([rng.randint(10**5, 4 * 10**6), 15000]))))
@@ -54,3 +57,47 @@ def test_the_ladder_reads_every_day(spark, tmp_path):
     got = sorted(tuple(r) for r in research._daily(spark, str(tmp_path)).collect())
     assert got == sorted((n, day, v / 1e8, v > 20000) for n, day, v in lines)
     assert _rows(spark, tmp_path, "ladder_gaps") == []
+
+
+def _absent(nation, day):
+    """1 misses two month starts in a row, 2 some days and its exit day, 3 a whole month and more, 4 never comes back."""
+    return (
+        (nation == 1 and date(1999, 2, 27) <= day <= date(1999, 4, 3))
+        or (nation == 2 and day in (date(1999, 4, 1), date(1999, 4, 2), date(1999, 4, 20), date(1999, 5, 1)))
+        or (nation == 3 and date(1999, 2, 20) <= day <= date(1999, 4, 10))
+        or (nation == 4 and day >= date(1999, 5, 20))
+    )
+
+
+def test_holding_books_gaps_delistings_and_consumed_rows(spark, tmp_path):
+    lines, days = _ladder_tables(spark, tmp_path, _absent)
+    legs = {}
+    for t, e, leg in _rows(spark, tmp_path, "ladder_legs"):
+        legs.setdefault((t, leg), []).append(e)
+    rows = {(n, day): (v / 1e8, v > 20000) for n, day, v in lines}
+    starts = [x for x in days if x.day == 1]
+    growth, gaps, consumed, zeroed = [], [], {"W": set(), "L": set()}, 0
+    for (t, leg), names in sorted(legs.items()):
+        later = [x for x in starts if x > t]
+        if len(later) < 2:
+            continue
+        a, b = later[:2]
+        value = dict.fromkeys(names, 1.0)
+        for day in (x for x in days if a < x <= b):
+            here = {e: rows[e, day] for e in names if (e, day) in rows and (e, day) not in consumed[leg]}
+            zeroed += sum((e, day) in consumed[leg] for e in names)
+            ok = [r for r, good in here.values() if good]
+            for e, (r, good) in here.items():
+                value[e] *= 1 + (r if good else sum(ok) / len(ok) if ok else 0.0)
+        for e in names:
+            if (e, b) not in rows:
+                back = [day for day in days if day > b and (e, day) in rows]
+                gaps.append((t, e, back[0] if back else None))
+                value[e] *= 1 + (rows[e, back[0]][0] if back else -0.3)
+                consumed[leg] |= {(e, back[0])} if back else set()
+        growth.append((t, leg, sum(value.values()) / len(value) - 1, len(value)))
+    got = _rows(spark, tmp_path, "ladder_holding")
+    assert [(t, leg, n) for t, leg, _, n in got] == [(t, leg, n) for t, leg, _, n in growth]
+    assert all(abs(x[2] - y[2]) < 2e-6 for x, y in zip(got, growth))
+    found = {tuple(r) for r in registry.queries()["ladder_gaps"](spark, str(tmp_path)).collect()}
+    assert found == set(gaps) and {b is None for _, _, b in gaps} == {True, False} and zeroed
