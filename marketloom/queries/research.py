@@ -14,7 +14,7 @@ from marketloom.operators import ladder as L
 from marketloom.operators import quality as Q
 from marketloom.operators import stats as T
 from marketloom.plans.bars import BARS, HOURS, LIQUID, MONTHS, daily_bars, hourly_bars, liquidity_panel, month_panel, r6
-from marketloom.session import known, table
+from marketloom.session import clean_key, known, table
 
 # Every branch of the subject grammar: subject, kind, factor.
 SUBJECTS = [
@@ -60,23 +60,30 @@ def id_segments(spark, d):
     return s.select("entity", "part", "first", "last", "n_sessions")
 
 
-def _links(spark, d):
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("node"))
-    links = s.where("node % 4 in (0, 1)").select(F.col("node").alias("a"), (F.col("node") + 7).alias("b"), F.expr("date_add(date'2000-01-01', cast(node as int))").alias("effective"))
-    nodes = s.unionByName(links.select(F.col("b").alias("node"))).distinct()
-    return nodes.withColumn("first", F.expr("date_add(date'1990-01-01', cast(pmod(node * 37, 100) as int))")), links
+def _links(spark, d, day=None):
+    """Segments with their first day, and the links with both ends given; with day only what is known by it.
+
+    Most link ends are missing from id1_segments; they are nodes too, their unknown first day comes last.
+    """
+    nodes = table(spark, d, "id1_segments").select(clean_key("segment_id").alias("node"), "first")
+    links = table(spark, d, "returns_links").select(clean_key("from_segment").alias("a"), clean_key("to_segment").alias("b"), "effective").where("a is not null and b is not null")
+    links = links if day is None else links.where(F.col("effective") <= day)
+    ends = links.select(F.col("a").alias("node")).union(links.select("b")).distinct().join(nodes, "node", "left_anti")
+    held = nodes if day is None else nodes.where(F.col("first") <= day)
+    return held.unionByName(ends.withColumn("first", F.lit("9999-12-31").cast("date"))), links
 
 
 def id_entities(spark, d):
-    """O-S28: groups of linked suppliers by smallest key."""
+    """O-S28: groups of linked segments by smallest key."""
     nodes, links = _links(spark, d)
-    return N.entities(nodes, links)
+    return N.entities(nodes.select("node"), links)
 
 
 def id_entities_as_of(spark, d):
-    """O-S28: groups by earliest first day, links effective by a day only."""
-    nodes, links = _links(spark, d)
-    return N.entities(nodes, links, first="first", as_of=F.to_date(F.lit("2000-02-20")))
+    """O-S28: groups by earliest first day, of segments and links known by a day only."""
+    day = F.to_date(F.lit("2020-06-30"))
+    nodes, links = _links(spark, d, day)
+    return N.entities(nodes, links, first="first", as_of=day)
 
 
 def pit_universe(spark, d):

@@ -101,3 +101,29 @@ def test_holding_books_gaps_delistings_and_consumed_rows(spark, tmp_path):
     assert all(abs(x[2] - y[2]) < 2e-6 for x, y in zip(got, growth))
     found = {tuple(r) for r in registry.queries()["ladder_gaps"](spark, str(tmp_path)).collect()}
     assert found == set(gaps) and {b is None for _, _, b in gaps} == {True, False} and zeroed
+
+
+def test_entities_of_segments_and_their_links(spark, tmp_path):
+    rng, day = random.Random(3), date(2020, 6, 30)
+    keys = [f"S{i:03d}" for i in range(120)]
+    first = {k: day + timedelta(rng.randint(-900, 300)) for k in keys}
+    pairs = [(keys[i], keys[i + 1]) for i in range(40)]  # a chain
+    pairs += [(keys[60], keys[60 + i]) for i in range(1, 30)]  # a hub
+    pairs += [(rng.choice(keys[95:]), rng.choice(keys[95:])) for _ in range(12)] + [("S050", "gone"), ("gone", "S051"), ("out", "away"), ("S052", None), (None, "S053")]
+    links = [(a, b, rng.choice([None, day, day + timedelta(1), day - timedelta(90), day - timedelta(9)])) for a, b in pairs]
+    _write(spark, tmp_path, "id1_segments", [(k, first[k]) for k in keys], "segment_id string, first date")
+    dirty = [(f" {a}\t" if a else a, f"{b} " if b else b, eff) for a, b, eff in links]
+    _write(spark, tmp_path, "returns_links", dirty + dirty[::3], "from_segment string, to_segment string, effective date")
+
+    def groups(nodes, edges, order):
+        label = {k: k for k in nodes}
+        for _ in nodes:
+            for a, b in edges:
+                if a in label and b in label:
+                    label[a] = label[b] = min(label[a], label[b], key=order)
+        return sorted(label.items())
+
+    whole, held = [x[:2] for x in links if x[0] and x[1]], [(a, b) for a, b, eff in links if a and b and eff and eff <= day]
+    assert _rows(spark, tmp_path, "id_entities") == groups({*keys, *sum(whole, ())}, whole, lambda k: k)
+    known = {k for k in keys if first[k] <= day} | {k for k in sum(held, ()) if k not in first}
+    assert _rows(spark, tmp_path, "id_entities_as_of") == groups(known, held, lambda k: (first.get(k, date.max), k))
