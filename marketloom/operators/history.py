@@ -20,49 +20,46 @@ def merge_history(
     day: str,
     precedence: Column,
 ) -> DataFrame:
-    """(*key, *attributes, valid_from, valid_to): the dimension after a batch of readings.
+    """(*key, *attributes, valid_from, valid_to, read_on): the dimension after a batch of readings.
 
     Each reading says what its entity carried on a day. Of several readings of one entity and day
-    the greatest precedence holds. Readings are compared by attribute hash with the version
-    current on their day: an equal one changes nothing, a different one closes it (valid_to is
-    exclusive) and opens a new version, the last one open to 9999-12-31. Entities that the batch
-    does not name pass through untouched; versions of the others take part as readings of their
-    first day, below any reading of the batch. Rows without key or day take no part; null
-    attributes are values like others. A batch with late days must carry all readings of its
-    entities, as equal readings inside a version are not kept in the dimension.
+    the greatest precedence holds, whichever batch brought it. Readings are compared by attribute
+    hash with the version current on their day: an equal one confirms it, a different one closes
+    it (valid_to is exclusive) and opens a new version, the last one open to 9999-12-31. read_on
+    keeps the days on which a version was read, each with its precedence, so that a late reading
+    inside a version splits it and what was read afterwards opens again: batches in any order give
+    what one batch of all readings gives. Entities that the batch does not name pass through
+    untouched. Rows without key or day take no part; null attributes are values like others.
 
     Readings are pre-aggregated to one per entity and day before the window, so the window of the
     busiest entity holds no more rows than days.
     """
     named = [*key, *attributes]
-    batch = (
-        readings.select(*named, F.col(day).cast("date").alias("_day"), precedence.alias("_rank"), F.lit(1).alias("_new"))
-        .dropna(subset=[*key, "_day"])
-        .groupBy(*key, "_day")
-        .agg(F.max(F.struct("_new", "_rank", *attributes)).alias("_best"))
-        .select(*key, "_day", F.lit(1).alias("_new"), *[F.col("_best")[a].alias(a) for a in attributes])
-    )
+    batch = readings.select(*named, F.col(day).cast("date").alias("_day"), precedence.alias("_rank")).dropna(subset=[*key, "_day"])
     untouched = None
     if dimension is not None:
         touched = batch.select(*key).distinct()
-        untouched = dimension.join(touched, list(key), "left_anti").select(*named, "valid_from", "valid_to")
-        old = dimension.join(touched, list(key), "left_semi").select(*key, F.col("valid_from").alias("_day"), F.lit(0).alias("_new"), *attributes)
-        batch = (
-            batch.unionByName(old)
-            .groupBy(*key, "_day")
-            .agg(F.max(F.struct("_new", *attributes)).alias("_best"))
-            .select(*key, "_day", *[F.col("_best")[a].alias(a) for a in attributes])
-        )
+        untouched = dimension.join(touched, list(key), "left_anti")
+        stored = dimension.join(touched, list(key), "left_semi").select(*named, F.explode("read_on").alias("_read"))
+        batch = batch.unionByName(stored.select(*named, F.col("_read.day").alias("_day"), F.col("_read.rank").alias("_rank")))
+    daily = (
+        batch.groupBy(*key, "_day")
+        .agg(F.max(F.struct("_rank", *attributes)).alias("_best"))
+        .select(*key, "_day", F.col("_best._rank").alias("_rank"), *[F.col("_best")[a].alias(a) for a in attributes])
+    )
     order = Window.partitionBy(*key).orderBy("_day")
     digest = F.sha2(F.to_json(F.struct(*attributes), {"ignoreNullFields": "false"}), 256)
-    opened = (
-        batch.withColumn("_hash", digest)
-        .withColumn("_current", F.lag("_hash").over(order))
-        .where("_current is null or _hash != _current")
-        .withColumn("valid_to", F.coalesce(F.lead("_day").over(order), F.to_date(F.lit(OPEN_END))))
-        .select(*named, F.col("_day").alias("valid_from"), "valid_to")
+    numbered = (
+        daily.withColumn("_hash", digest)
+        .withColumn("_differs", (~F.col("_hash").eqNullSafe(F.lag("_hash").over(order))).cast("int"))
+        .withColumn("_version", F.sum("_differs").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    )
+    opened = numbered.groupBy(*key, "_version").agg(
+        *[F.first(a).alias(a) for a in attributes], F.min("_day").alias("valid_from"), F.array_sort(F.collect_list(F.struct(F.col("_day").alias("day"), F.col("_rank").alias("rank")))).alias("read_on")
     )
-    return opened if untouched is None else opened.unionByName(untouched)
+    closes = F.lead("valid_from").over(Window.partitionBy(*key).orderBy("_version"))
+    merged = opened.withColumn("valid_to", F.coalesce(closes, F.to_date(F.lit(OPEN_END)))).select(*named, "valid_from", "valid_to", "read_on")
+    return merged if untouched is None else merged.unionByName(untouched.select(*merged.columns))
 
 
 ISIN = r"([A-Za-z]{2}[A-Za-z0-9]{9}[0-9])"
@@ -139,9 +136,23 @@ def isin_readings(flags: DataFrame, segments: DataFrame) -> DataFrame:
     )
 
 
-def identifier_history(resolutions: DataFrame, flags: DataFrame, segments: DataFrame) -> DataFrame:
-    """(attribute, entity_id, value, valid_from, valid_to): every symbol and ISIN of every entity."""
+def identifier_history(resolutions: DataFrame, flags: DataFrame, segments: DataFrame, *, batches: int = 2) -> DataFrame:
+    """(attribute, entity_id, value, valid_from, valid_to): every symbol and ISIN of every entity.
+
+    The dimension is built as it would have been kept: readings come in batches, by equal spans of
+    the day they were said on, and each batch is merged into the dimension of the ones before,
+    late readings included. The number of batches changes nothing in the result.
+    """
     readings = symbol_readings(resolutions).unionByName(isin_readings(flags, segments))
-    return merge_history(
-        None, readings, key=("attribute", "entity_id"), attributes=("value",), day="day", precedence=F.struct("said_on", "said_by", "role")
-    )
+    bounds = resolutions.select(F.col("recorded_on").alias("d")).unionByName(flags.select(F.col("flagged_on").alias("d"))).agg(F.min("d"), F.max("d")).first()
+    lo, hi = bounds if bounds and bounds[0] is not None else (None, None)
+    cuts = [] if lo is None else [lo + (hi - lo) * i / batches for i in range(1, batches)]
+    dimension = None
+    for since, until in zip([None, *cuts], [*cuts, None]):
+        part = readings
+        if until is not None:
+            part = part.where(F.col("said_on").isNull() | (F.col("said_on") <= F.lit(until)))
+        if since is not None:
+            part = part.where(F.col("said_on") > F.lit(since))
+        dimension = merge_history(dimension, part, key=("attribute", "entity_id"), attributes=("value",), day="day", precedence=F.struct("said_on", "said_by", "role"))
+    return dimension.select("attribute", "entity_id", "value", "valid_from", "valid_to")

@@ -70,6 +70,36 @@ def attributes_as_known(
     )
 
 
+def _stabbing_best(periods: DataFrame, points: DataFrame) -> DataFrame:
+    """points (_component, _day) with _best, the greatest of the periods (_component, _from, _until, _best) that cover each.
+
+    Points are numbered per component; a period covers a range of numbers and is cut into at most
+    two dyadic blocks a level, a point looks into its one block of each level. So n periods make
+    n log n rows, and no period is ever paired with the points inside it. Every _from and every
+    _until that is not null must be a point.
+    """
+    numbered = points.withColumn("_at", (F.row_number().over(Window.partitionBy("_component").orderBy("_day")) - 1).cast("long"))
+    first = numbered.select("_component", F.col("_day").alias("_from"), F.col("_at").alias("_lo"))
+    last = numbered.select("_component", F.col("_day").alias("_until"), F.col("_at").alias("_hi"))
+    top = 32
+    levels = F.sequence(F.lit(0), F.lit(top))
+
+    def blocks(level):
+        shift = lambda how, c: F.call_function(how, c, level)
+        lo = shift("shiftright", F.col("_lo") + shift("shiftleft", F.lit(1).cast("long")) - 1)
+        hi = shift("shiftright", F.col("_hi"))
+        odd = lambda c: F.pmod(c, F.lit(2)) == 1
+        left = F.when((lo < hi) & odd(lo), F.struct(level.alias("_level"), lo.alias("_block")))
+        right = F.when((lo < hi) & odd(hi), F.struct(level.alias("_level"), (hi - 1).alias("_block")))
+        return F.array(left, right)
+
+    ranged = periods.join(first, ["_component", "_from"]).join(last, ["_component", "_until"], "left").withColumn("_hi", F.coalesce("_hi", F.lit(1 << top).cast("long")))
+    cut = ranged.select("_component", "_best", F.inline(F.filter(F.flatten(F.transform(levels, blocks)), lambda b: b.isNotNull())))
+    held = cut.groupBy("_component", "_level", "_block").agg(F.max("_best").alias("_best"))
+    asked = numbered.select("*", F.explode(levels).alias("_level")).withColumn("_block", F.expr("shiftright(_at, _level)"))
+    return asked.join(held, ["_component", "_level", "_block"], "left").groupBy("_component", "_day").agg(F.max("_best").alias("_best"))
+
+
 def periods_in_force(
     events: DataFrame,
     periods: DataFrame,
@@ -85,41 +115,41 @@ def periods_in_force(
     """(event_id, component, row_id): the period row of each component in force on the event's day.
 
     A row holds from start to end, both inclusive, null end = open, once it is known; of several
-    the latest known_from, then the greatest row_id. Days without an answer give no row. The
-    states of all components are laid out by calendar day (bounded by the days between the first
-    and the last event), numbered by the running count of changes, and joined by number.
+    the latest known_from, then the greatest row_id. Days without an answer give no row; rows
+    without component, start, known_from or row_id take no part. What is in force can change only
+    on the day a row begins to hold or the day after it ends: at those change points the best row
+    is found, changes are counted per component over change points and the events' days, and the
+    rows follow by component and number. No calendar is laid out, so a day of any century costs
+    no more than any other.
     """
     ev = events.select(F.col(event_id).alias("_event"), F.col(event_day).alias("_day")).where("_day is not null").distinct()
-    days = ev.agg(F.min("_day").alias("_lo"), F.max("_day").alias("_hi")).first()
-    if days is None or days["_lo"] is None:
-        days = {"_lo": None, "_hi": None}
-    lo, hi = F.lit(days["_lo"]).cast("date"), F.lit(days["_hi"]).cast("date")
-    # greatest() and least() skip nulls; a row without start or known day is dropped before
+    # greatest() skips nulls; a row without start or known day is dropped before
     spans = (
         periods.where(F.col(start).isNotNull() & F.col(known_from).isNotNull() & F.col(component).isNotNull() & F.col(row_id).isNotNull())
         .select(
             F.col(component).alias("_component"),
             F.struct(F.col(known_from).alias("k"), F.col(row_id).alias("r")).alias("_best"),
-            F.greatest(F.col(start), F.col(known_from), lo).alias("_from"),
-            F.least(F.coalesce(F.col(end), hi), hi).alias("_to"),
+            F.greatest(F.col(start), F.col(known_from)).alias("_from"),
+            F.date_add(F.col(end), 1).alias("_until"),
         )
-        .where("_from <= _to")
-    )
-    by_day = spans.select("_component", "_best", F.explode(F.sequence("_from", "_to", F.expr("interval 1 day"))).alias("_day"))
-    state = (
-        by_day.groupBy("_component", "_day")
-        .agg(F.max("_best").alias("_best"))
-        .groupBy("_day")
-        .agg(F.sort_array(F.collect_list(F.struct("_component", F.col("_best.r").alias("_row")))).alias("_state"))
+        .where("_until is null or _from < _until")
+        .distinct()
     )
-    # one partition: no more rows than calendar days between the first and the last event
-    order = Window.partitionBy(F.lit(0)).orderBy("_day")
-    changed = F.coalesce(F.col("_state") != F.lag("_state").over(order), F.lit(True)) | (F.datediff("_day", F.lag("_day").over(order)) > 1)
-    numbered = state.withColumn("_changed", changed.cast("int")).withColumn("_version", F.sum("_changed").over(order))
-    wide = numbered.where("_changed = 1").select("_version", "_state")
+    points = spans.select("_component", F.explode(F.array("_from", "_until")).alias("_day")).where("_day is not null").distinct()
+    change_points = _stabbing_best(spans, points).withColumn("_asks", F.lit(0))
+    # every event meets every component, so each day of an event is asked once per component
+    components = periods.where(F.col(component).isNotNull()).select(F.collect_set(component)).scalar()
+    asked = ev.select("_day").distinct().select(F.explode(components).alias("_component"), "_day", F.lit(1).alias("_asks"))
+    order = Window.partitionBy("_component").orderBy("_day", "_asks")
+    timeline = change_points.unionByName(asked, allowMissingColumns=True)
+    # an asking row has no state of its own; of change points the one before is compared
+    before = F.last(F.when(F.col("_asks") == 0, F.struct("_best")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    changed = (F.col("_asks") == 0) & (F.col("_before").isNull() | ~F.col("_best").eqNullSafe(F.col("_before._best")))
+    numbered = timeline.withColumn("_before", before).withColumn("_changed", changed)
+    numbered = numbered.withColumn("_version", F.sum(F.col("_changed").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    versions = numbered.where("_changed and _best is not null").select("_component", "_version", F.col("_best.r").alias("_row"))
+    at_day = numbered.where("_asks = 1 and _version > 0").select("_component", "_day", "_version")
     return (
-        ev.join(numbered.select("_day", "_version"), "_day")
-        .join(wide, "_version")
-        .select("_event", F.inline("_state"))
+        ev.join(at_day.join(versions, ["_component", "_version"]), "_day")
         .select(F.col("_event").alias(event_id), F.col("_component").alias(component), F.col("_row").alias(row_id))
     )

@@ -125,12 +125,13 @@ def _cut(texts: list[str], fields: dict[str, tuple[int, int]], utc: np.ndarray,
         seconds[:] = local - np.where(chars[:, lo] == "-", -off, off)
     else:
         names = np.array(word("r"), dtype=object) if "r" in fields else zones
+        letters = np.array([w.upper() for w in word("w")], dtype=object) if "w" in fields else None
         for name in set(names.tolist()):
             rows = names == name
             if name is None or not isinstance(name, str):
                 good &= ~rows
                 continue
-            seconds[rows], known = utc_seconds(local[rows], name)
+            seconds[rows], known = utc_seconds(local[rows], name, letters[rows] if letters is not None else None)
             if not known:
                 good &= ~rows
     utc[:] = seconds * 1_000_000 + micros
@@ -143,7 +144,7 @@ def to_utc_micros(texts: pd.Series, zones: pd.Series, orders: pd.Series) -> pd.S
     stripped = [t.strip() if isinstance(t, str) else "" for t in texts]
     by_mask: dict[str, list[int]] = {}
     for i, t in enumerate(stripped):
-        if 0 < len(t) <= 80 and t.isascii():
+        if t and t.isascii():
             by_mask.setdefault(mask_of(t), []).append(i)
     zone_of, order_of = zones.to_numpy(dtype=object), orders.to_numpy(dtype=object)
     for mask, rows in by_mask.items():
@@ -160,8 +161,10 @@ def utc_micros(text: Column, zone: Column, day_order: Column) -> Column:
     """BIGINT column of instants; zone is an IANA name, day_order DMY or MDY, either may be null.
 
     A text with an offset, Z, zone name or epoch needs no zone; zone letters stand for the given
-    zone; a day alone is its first midnight; two-digit years are 20xx. Of a local time that occurs
-    twice the earlier instant counts; a skipped one moves on by the gap's length. Null, empty,
+    zone, and in an hour that occurs twice for the offset they name; a day alone is its first
+    midnight; two-digit years are 20xx. Of a local time that occurs twice the earlier instant
+    counts otherwise; a skipped one moves on by the gap's length. Texts of any length are read,
+    years of any century follow the zone database's own transitions and rules. Null, empty,
     unreadable and non-existing times, and those that need a missing zone or order, give null.
     """
 

@@ -63,3 +63,23 @@ def test_merge_closes_and_opens(spark):
     got = sorted((r["k"], r["v"] or "", str(r["valid_from"]), str(r["valid_to"])) for r in second.collect())
     assert got == [("a", "x", "2020-01-01", "2020-03-01"), ("a", "z", "2020-03-01", "9999-12-31"), ("b", "x", "2020-01-01", "9999-12-31"), ("c", "", "2020-03-01", "9999-12-31")]
     assert merge(None, []).collect() == []
+
+
+def test_late_batches_in_any_order_equal_one_batch(spark):
+    import random
+
+    rng = random.Random(3)
+
+    def merge(dim, rows):
+        df = spark.createDataFrame(rows, "k string, v string, day date, seq int")
+        return merge_history(dim, df, key=("k",), attributes=("v",), day="day", precedence=F.col("seq"))
+
+    late = merge(merge(None, [("a", "A", D(2020, 1, 1), 0), ("a", "A", D(2020, 1, 5), 1)]), [("a", "B", D(2020, 1, 3), 2)])
+    assert sorted((r["v"], r["valid_from"].day, r["valid_to"].year) for r in late.collect()) == [("A", 1, 2020), ("A", 5, 9999), ("B", 3, 2020)]
+    rows = [(rng.choice("aab"), rng.choice(["x", "y", None]), D(2020, 1, rng.randrange(1, 28)), i) for i in range(60)]
+    whole = sorted(merge(None, rows).select("k", "v", "valid_from", "valid_to").collect(), key=str)
+    rng.shuffle(rows)
+    dim = None
+    for i in range(0, 60, 20):
+        dim = merge(dim, rows[i : i + 20])
+    assert sorted(dim.select("k", "v", "valid_from", "valid_to").collect(), key=str) == whole

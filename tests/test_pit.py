@@ -88,3 +88,10 @@ def test_wide_columns_follow(spark):
     ev = spark.createDataFrame([(10, "A", D, "u", 1)], EV)
     df = attributes_as_known(ev, rows, event_id="order_id", event_entity="entity", event_day="s_plus", entity="entity_id", valid_from="selection_date", known_from="recorded_on", row_id="univ_id", keep=("_best",))
     assert df.select("order_id", "univ_id", F.col("_best")).collect() == [(10, 1, 7)]
+
+
+def test_a_day_of_the_last_century_costs_no_calendar(spark):
+    far = date(9999, 12, 31)
+    rows = [(1, "x", D, None, D, 1), (2, "x", D + timedelta(5), D + timedelta(9), D, 1), (3, "y", date(1, 1, 1), far, date(1, 1, 1), 1)]
+    events = [(1, None, far, "u", 1), (2, None, D + timedelta(7), "u", 1), (3, None, date(1, 1, 1), "u", 1)]
+    assert rates(spark, events, rows) == [(1, "x", 1), (1, "y", 3), (2, "x", 2), (2, "y", 3), (3, "y", 3)]

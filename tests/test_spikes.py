@@ -78,16 +78,19 @@ def test_stuck_runs(spark):
     assert set(range(40, 55)) <= got and 39 not in got
 
 
-def test_blocks_do_not_change_the_result(spark):
+def test_batch_size_does_not_change_the_result(spark):
     rows = []
     for k in range(4):
         r = series(f"E{k}", 900, start_id=k * 10_000, seed=k)
         for i in range(37, 880, 101):
             put(r, i, r[i][4] * (1.2 if i % 2 else 0.8))
         rows += r
-    whole = found(spark, rows, rules=SpikeRules(block_days=10**6))
-    assert len(whole) == 4 * 9 * 2
-    assert found(spark, rows, rules=SpikeRules(block_days=200)) == whole
+    whole = found(spark, rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 37)
+    try:
+        assert found(spark, rows) == whole and len(whole) > 60
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
 def test_new_level_is_accepted(spark):
@@ -105,3 +108,37 @@ def test_edges(spark):
     assert found(spark, one + one) == set()
     lone = [[1, None, date(2020, 1, 1), 10.0, -1.0, None, None, "x", 0], [2, "B", None, 10.0, 10.5, 0.05, None, "x", 0], [3, None, None, None, None, None, None, "x", 0], [4, None, None, 10.0, 20.0, 3.0, None, "x", 0]]
     assert found(spark, lone) == {1, 4}
+
+
+def test_state_carried_over_batches_equals_one_batch():
+    import numpy as np
+    import pandas as pd
+
+    from marketloom.operators.spikes import judge
+
+    rng = random.Random(11)
+    rows = []
+    for k, n in enumerate((3, 200, 14, 700, 16, 120)):
+        part = series(f"E{k}", n, start_id=1000 * k, seed=k)
+        for _ in range(n // 12):
+            put(part, rng.randrange(max(1, n - 2)), part[0][4] * rng.choice([0.5, 1.4, 100.0]))
+        if n > 100:
+            for i in range(40, 40 + 12 + k):  # stuck
+                part[i][4] = part[39][4]
+            for i in range(60, n):  # a level that is confirmed
+                part[i][3], part[i][4] = part[i][3] * 3, part[i][4] * 3
+        rows += part
+    frame = pd.DataFrame(
+        {"residual_id": [r[0] for r in rows], "_series": [r[1] for r in rows], "_day": [(r[2] - date(1970, 1, 1)).days for r in rows], "prev_close": [r[3] for r in rows], "close": [r[4] for r in rows], "ret_raw": [r[5] for r in rows], "_factor": np.nan, "_scale": 0.01, "_usual": 1.0}
+    )
+    _, whole, _ = judge(frame, SpikeRules())
+    assert 100 < whole.sum() < len(rows)
+    for size in (1, 5, 13, 100, 333):
+        ids, flags, carried = [], [], None
+        for lo in range(0, len(frame), size):
+            out, bad, carried = judge(frame.iloc[lo : lo + size], SpikeRules(), carried, more=True)
+            ids += out["residual_id"].tolist()
+            flags += bad.tolist()
+        out, bad, _ = judge(frame.iloc[:0], SpikeRules(), carried)
+        assert ids + out["residual_id"].tolist() == frame["residual_id"].tolist()
+        assert flags + bad.tolist() == whole.tolist(), size

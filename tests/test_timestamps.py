@@ -1,9 +1,12 @@
-from datetime import datetime, timezone
+import random
+from datetime import datetime, timedelta, timezone
+from zoneinfo import ZoneInfo
 
+import numpy as np
 import pandas as pd
 import pytest
 
-from marketloom.functions.zones import transitions
+from marketloom.functions.zones import transitions, utc_seconds
 from marketloom.operators.timestamps import instants, parser_of, to_utc_micros
 
 
@@ -66,7 +69,7 @@ def test_batch_equals_single():
 
 
 def test_tables_and_masks():
-    assert transitions("Asia/Kolkata")[1][-1] == 19800 and transitions("No/Where") is None
+    assert transitions("Asia/Kolkata").offsets[-1] == 19800 and transitions("No/Where") is None and transitions("../etc/passwd") is None
     assert parser_of("9999-99-99") and parser_of("AAAA") is None
 
 
@@ -76,3 +79,31 @@ def test_instants(spark):
     got = sorted(tuple(r) for r in instants(rows, feeds, row_id="id", text="t", feed="f").collect())
     assert got == [(1, at(2020, 1, 20, 18, 30)), (2, 1552039995 * 10**6)]
     assert instants(rows.limit(0), feeds, row_id="id", text="t", feed="f").collect() == []
+
+
+@pytest.mark.parametrize("zone", ["Europe/Berlin", "America/New_York", "Australia/Lord_Howe", "Africa/Casablanca", "America/Santiago", "Asia/Kolkata", "Pacific/Apia"])
+def test_tables_equal_the_zone_database_in_every_century(zone):
+    rng = random.Random(zone)
+    local = [datetime(1, 1, 2) + timedelta(seconds=rng.randrange(int(9990 * 365.2425 * 86400))) for _ in range(500)]
+    local += [datetime(1900, 1, 1) + timedelta(seconds=rng.randrange(300 * 365 * 86400)) for _ in range(1500)] + [datetime(1947, 7, 1, 12), datetime(2150, 7, 1, 12)]
+    seconds = np.array([int((t - datetime(1970, 1, 1)).total_seconds()) for t in local])
+    want = [int(s - t.replace(tzinfo=ZoneInfo(zone)).utcoffset().total_seconds()) for s, t in zip(seconds, local)]
+    assert utc_seconds(seconds, zone)[0].tolist() == want
+
+
+def test_letters_choose_between_the_two_readings_of_a_repeated_hour():
+    def read(text):
+        return int(to_utc_micros(pd.Series([text]), pd.Series(["America/New_York"]), pd.Series(["MDY"]))[0])
+
+    early, late = at(2023, 11, 5, 5, 30), at(2023, 11, 5, 6, 30)
+    assert read("Nov 5, 2023 01:30:00 EDT") == early == read("2023-11-05 01:30:00") == read("Nov 5, 2023 01:30:00 XYZ")
+    assert read("Nov 5, 2023 01:30:00 EST") == late
+    assert read("Jul 5, 2023 01:30:00 EST") == at(2023, 7, 5, 5, 30)  # letters of another season mean the zone
+
+
+def test_long_texts_are_read():
+    spaced = " " * 500 + "2020-01-21 00:00:00" + "\t" * 500
+    assert int(to_utc_micros(pd.Series([spaced]), pd.Series(["Etc/UTC"]), pd.Series(["DMY"]))[0]) == at(2020, 1, 21)
+    long_zone = "2020-01-21 00:00:00 America/" + "A" * 90
+    assert to_utc_micros(pd.Series([long_zone]), pd.Series(["Etc/UTC"]), pd.Series(["DMY"]))[0] is pd.NA
+    assert to_utc_micros(pd.Series(["9" * 100_000]), pd.Series(["Etc/UTC"]), pd.Series(["DMY"]))[0] is pd.NA
