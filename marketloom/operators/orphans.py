@@ -11,6 +11,8 @@ than days, and no parent is ever paired with a reference.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -78,7 +80,10 @@ def advance(ledger: OrphanLedger | None, references: DataFrame, parents: DataFra
     again = ledger.references.join(touched, ["space", "ref_key"], "left_semi").select(*REFERENCE)
     rest = ledger.references.join(touched, ["space", "ref_key"], "left_anti")
     fresh = new.join(rest.select(*REFERENCE), list(REFERENCE), "left_anti")
-    return OrphanLedger(rest.unionByName(probe(again.unionByName(fresh).distinct(), index)), index)
+    # only the keys of the increment are looked at; Spark broadcasts them as long as they are few
+    looked = again.unionByName(fresh).distinct()
+    near = index.join(touched.unionByName(new.select("space", "ref_key")).distinct(), ["space", "ref_key"], "left_semi")
+    return OrphanLedger(rest.unionByName(probe(looked, near)), index)
 
 
 def snapshot(ledger: OrphanLedger) -> DataFrame:
@@ -91,34 +96,42 @@ def snapshot_counts(ledger: OrphanLedger) -> DataFrame:
     return snapshot(ledger).groupBy("ref_table", "period", "cause").agg(F.count(F.lit(1)).alias("n_keys"))
 
 
-def replay(references: DataFrame, parents: DataFrame, *, increments: int = 2) -> OrphanLedger:
-    """Build the ledger in time order: equal spans of days, each with what arrived in it.
+def replay_periods(references: DataFrame, parents: DataFrame, *, increments: int = 2) -> list[tuple[date | None, OrphanLedger]]:
+    """(last day, ledger) after each of equal spans of days, in time order; None where there are no days.
 
-    A parent arrives on registered_on and is deleted by a second arrival on removed_on. The
-    result does not depend on the number of increments.
+    Each span brings the references of its days, the parents registered in it and, by a second
+    arrival, those removed in it; the last one also what is dated after the last reference.
     """
     references = cut_lineage(references.dropna(subset=["space", "ref_key", "day"]).select(*REFERENCE).distinct())
     span = references.agg(F.min("day").alias("lo"), F.max("day").alias("hi")).first()
-    if increments < 2 or span["lo"] is None:
-        return advance(None, references, parents)
-    width = (span["hi"] - span["lo"]) / increments
-    cuts = [span["lo"] + width * i for i in range(1, increments)]
-    ledger = None
-    for i in range(increments):
-        until, since = (cuts[i] if i < len(cuts) else None), (cuts[i - 1] if i else None)
+    if span["lo"] is None:
+        return [(None, advance(None, references, parents))]
+    ends = [span["lo"] + (span["hi"] - span["lo"]) * i / increments for i in range(1, increments)]
+    out, ledger = [], None
+    for since, until in zip([None, *ends], [*ends, None]):
 
         def within(c, since=since, until=until):
-            low = F.lit(True) if since is None else F.col(c) > F.lit(since)
-            return low if until is None else low & (F.col(c) <= F.lit(until))
-
-        first = F.coalesce("registered_on", F.to_date(F.lit("0001-01-01")))
-        arrived = F.lit(True) if until is None else first <= F.lit(until)
-        if since is not None:
-            arrived &= (first > F.lit(since)) | (F.col("removed_on") > F.lit(since))
-        batch = parents.where(arrived)
+            low = F.lit(True) if since is None else c > F.lit(since)
+            return low if until is None else low & (c <= F.lit(until))
+
+        registered = F.coalesce("registered_on", F.to_date(F.lit("0001-01-01")))
+        removed = F.coalesce(within(F.col("removed_on")), F.lit(False))
+        batch = parents.where(within(registered) | (removed & (registered <= F.lit(until) if until is not None else F.lit(True))))
         if until is not None:
             batch = batch.withColumn("removed_on", F.when(F.col("removed_on") <= F.lit(until), F.col("removed_on")))
-        ledger = advance(ledger, references.where(within("day")), batch)
-        if i < increments - 1:
+        ledger = advance(ledger, references.where(within(F.col("day"))), batch)
+        if until is not None:
             ledger = OrphanLedger(cut_lineage(ledger.references), cut_lineage(ledger.parents))
-    return ledger
+        out.append((until or span["hi"], ledger))
+    return out
+
+
+def replay(references: DataFrame, parents: DataFrame, *, increments: int = 2) -> OrphanLedger:
+    """The ledger after all increments; their number does not change it."""
+    return replay_periods(references, parents, increments=increments)[-1][1]
+
+
+def periodic_counts(references: DataFrame, parents: DataFrame, *, increments: int = 4) -> DataFrame:
+    """(as_of, ref_table, period, cause, n_keys): the counts of orphans as they stood at the end of each increment."""
+    parts = [snapshot_counts(ledger).select(F.lit(day).cast("date").alias("as_of"), "ref_table", "period", "cause", "n_keys") for day, ledger in replay_periods(references, parents, increments=increments)]
+    return reduce(DataFrame.unionByName, parts)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketloom.operators.history import identifier_history
-from marketloom.operators.orphans import replay, snapshot, snapshot_counts
+from marketloom.operators.orphans import periodic_counts, replay, snapshot, snapshot_counts
 from marketloom.operators.pit import attributes_as_known, periods_in_force
 from marketloom.operators.spikes import implausible_readings
 from marketloom.operators.timestamps import instants
@@ -129,7 +129,7 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _ledger(spark: SparkSession, sf_dir: str):
+def _references(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     def refs(name: str, space: str, key: str, day: str) -> DataFrame:
         return table(spark, sf_dir, name).select(F.lit(space).alias("space"), clean_key(key).alias("ref_key"), F.lit(name).alias("ref_table"), F.col(day).alias("day"))
 
@@ -143,27 +143,34 @@ def _ledger(spark: SparkSession, sf_dir: str):
         .unionByName(refs("univ1_pit_universe", "segment", "segment_at_selection", "selection_date"))
         .unionByName(refs("id1_flags", "segment", "segment_id", "flagged_on"))
     )
-    return replay(references, parents[0].unionByName(parents[1]))
+    return references, parents[0].unionByName(parents[1])
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ref_table, period, ref_key, cause): references that id1_segments does not support."""
-    return snapshot(_ledger(spark, sf_dir))
+    return snapshot(replay(*_references(spark, sf_dir)))
 
 
 def p7_orphan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(ref_table, period, cause, n_keys): orphan keys per table, month and cause."""
-    return snapshot_counts(_ledger(spark, sf_dir))
+    return snapshot_counts(replay(*_references(spark, sf_dir)))
 
 
-_P7_FOUND = f"""
+def p7_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(as_of, ref_table, period, cause, n_keys): the same counts as they stood at the end of each of four spans of days."""
+    counts = periodic_counts(*_references(spark, sf_dir), increments=4)
+    return counts.withColumn("as_of", F.date_format("as_of", "yyyy-MM-dd"))
+
+
+_P7_REFS = f"""
 with refs as (
   select distinct 'step_e' as ref_table, 'e' as space, {_TRIM.format('entity')} as ref_key, s_plus as day from step_e
   union select distinct 'univ1_pit_universe', 's', {_TRIM.format('segment_at_selection')}, selection_date from univ1_pit_universe
   union select distinct 'id1_flags', 's', {_TRIM.format('segment_id')}, flagged_on from id1_flags),
 par as (
   select 's' as space, segment_id as ref_key, registered_on, removed_on from id1_segments
-  union all select 'e', entity_id, registered_on, removed_on from id1_segments),
+  union all select 'e', entity_id, registered_on, removed_on from id1_segments)"""
+_P7_FOUND = f"""{_P7_REFS},
 seen as (
   select r.ref_table, r.ref_key, r.day,
     count(p.ref_key) as parents,
@@ -179,5 +186,22 @@ found as (
 P7_SQL = _P7_FOUND + "select ref_table, period, ref_key, cause from found"
 P7_COUNTS_SQL = _P7_FOUND + "select ref_table, period, cause, count(*) as n_keys from found group by all"
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p6_found, p7_found, p7_orphan_counts)}
-SQL = {"p1_found": P1_SQL, "p3_found": P3_SQL, "p7_found": P7_SQL, "p7_orphan_counts": P7_COUNTS_SQL}
+P7_SNAPSHOTS_SQL = f"""{_P7_REFS},
+span as (select min(day) as lo, max(day) as hi from refs where ref_key <> '' and day is not null),
+cuts as (select i, case when i = 4 then hi else lo + floor((hi - lo) * i / 4.0)::int end as cut from span, range(1, 5) t(i)),
+seen as (
+  select c.cut, r.ref_table, r.ref_key, r.day,
+    count(*) filter (p.registered_on <= c.cut or (c.i = 4 and p.ref_key is not null)) as parents,
+    count(*) filter (p.registered_on <= r.day) as registered,
+    count(*) filter (p.registered_on <= r.day and (p.removed_on is null or p.removed_on > r.day)) as sound
+  from refs r join cuts c on r.day <= c.cut left join par p on p.space = r.space and p.ref_key = r.ref_key
+  where r.ref_key <> '' group by all),
+found as (
+  select distinct cut, ref_table, strftime(day, '%Y-%m') as period, ref_key,
+    case when parents = 0 then 'MISSING' when registered = 0 then 'LATE' else 'DELETED' end as cause
+  from seen where sound = 0)
+select strftime(cut, '%Y-%m-%d') as as_of, ref_table, period, cause, count(*) as n_keys from found group by all
+"""
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p6_found, p7_found, p7_orphan_counts, p7_snapshots)}
+SQL = {"p1_found": P1_SQL, "p3_found": P3_SQL, "p7_found": P7_SQL, "p7_orphan_counts": P7_COUNTS_SQL, "p7_snapshots": P7_SNAPSHOTS_SQL}
