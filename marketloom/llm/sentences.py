@@ -1,9 +1,14 @@
 """Sentence units of texts in many languages and scripts.
 
-A pushdown automaton runs over the few characters that matter: terminators of each script,
-quotation marks, brackets, dashes and line ends. Quotations and brackets are pushed when their
-partner exists in the same paragraph, and nothing inside them ends a unit. Abbreviations are
-looked up in a trie read backwards from the period. Only blank lines end a unit by themselves.
+A pushdown automaton reads the few characters that matter, in one pass over each paragraph:
+terminators of each script, quotation marks, brackets, dashes and the markers of list items. Its
+stack holds the open quotations and brackets, each with the place in the output at which it was
+opened; a closing mark pops the nearest frame it fits and with it everything that was put out
+since, so nothing inside a closed pair ends a unit. What is left when the paragraph ends was never
+inside a closed pair. A second stack holds the levels of lists: a marker counts only where it
+opens a level or goes on with one. Abbreviations are looked up in a trie read backwards from the
+period. Every step is linear in the text, however deep or unmatched the marks are. Only blank
+lines end a unit by themselves.
 """
 
 from __future__ import annotations
@@ -54,11 +59,14 @@ _DASHES = "—–"
 _STRONG = frozenset("。！？।॥۔؟⁉‼⁈⁇｡")
 _INVISIBLE = "​‌‍­﻿⁠"
 _EVENT = regex.compile(r"[.!?…;;。！？।॥۔؟⁉‼⁈⁇｡]+|[“”„«»「」『』‘’‹›()\[\]（）［］【】〔〕〈〉《》\"]|(?<=\s|^)[—–](?=\s|\w)|(?:ครับ|ค่ะ|คะ)(?=\s|$|[(\[“”\"'«])")
-_PAIRED = regex.compile(r"[“”„«»「」『』‘’‹›()\[\]（）［］【】〔〕〈〉《》\"]")
 _BLANK_LINE = regex.compile(r"\r?\n(?:[^\S\n]*\r?\n)+|\r(?:[^\S\n\r]*\r)+")
 _SPACE = regex.compile(r"\s*")
-_DASH_ASIDE = regex.compile(r"([—–])\s*[^—–.!?…\n。！？]{1,40}[.!?…。！？]+\s*\1")
-_MARKER = regex.compile(r"[0-9]{1,3}|[A-Za-z]|[ivxIVX]{2,4}")
+_LAST_SPACE = regex.compile(r"(?r)\s")
+_DASH_ASIDE = regex.compile(r"([—–])\s*[^—–.!?…\n。！？]+[.!?…。！？]+\s*\1")
+_MARKER = regex.compile(r"[0-9]+|[A-Za-z]|[ivxIVX]{2,}")
+_ITEM = regex.compile(r"(?:(?<=[\n\r])|\A)[^\S\n\r]*(?:(\()?([0-9]+|[ivx]+|[IVX]+|[A-Za-z])([.)])|([-*•‣▪◦·]))(?=[^\S\n\r]+\S)")
+_ADDRESS = regex.compile(r"\w+[./@]\w")
+_WORD = regex.compile(r"\w+")
 
 
 def _trie(kinds: dict[str, str]) -> dict:
@@ -108,21 +116,91 @@ def _abbreviation(text: str, lo: int, dot: int) -> str | None:
     return found
 
 
-def _partners(text: str, lo: int, hi: int) -> dict[int, int]:
-    """Opening position -> closing position of the quotations and brackets of a paragraph."""
-    stack: list[tuple[str, int]] = []
-    pairs: dict[int, int] = {}
-    for m in _PAIRED.finditer(text, lo, hi):
+#: Kinds of events: a run of terminators, a dash, a closed pair, a list marker.
+_END, _DASH, _PAIR, _LIST = range(4)
+
+
+def _events(text: str, lo: int, hi: int) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of a paragraph's events outside all closed pairs; of a pair its two marks."""
+    out: list[tuple[int, int, int]] = []
+    frames: list[tuple[str, int, int]] = []  # mark, position, events put out before it
+    closed_by: dict[str, list[int]] = {}  # closing mark -> depths of the frames it fits
+    items = {m.end() - 1: m.start() for m in _ITEM.finditer(text, lo, hi)}
+    # bullets are no events of the pattern below; those in ascending order are let in between
+    bullets = [(_LIST, start, p + 1) for p, start in items.items() if text[p] not in ".)"]
+    k = 0
+    for m in _EVENT.finditer(text, lo, hi):
         c, i = m.group(), m.start()
+        while k < len(bullets) and bullets[k][1] <= i:
+            out.append(bullets[k])
+            k += 1
+        if i in items and c[0] in ".)":
+            out.append((_LIST, items[i], i + 1))
+            continue
+        if c in _DASHES:
+            out.append((_DASH, i, m.end()))
+            continue
+        if c not in _OPEN and c not in _CLOSE:
+            out.append((_END, i, m.end()))
+            continue
         if c == "’" and i > lo and text[i - 1].isalnum() and i + 1 < hi and text[i + 1].isalnum():
             continue  # an apostrophe
-        at = next((k for k in range(len(stack) - 1, -1, -1) if (c in _OPEN.get(stack[k][0], "") or c == '"' == stack[k][0])), None)
-        if at is not None and not (c == "“" and stack[at][0] != "„"):
-            pairs[stack[at][1]] = i
-            del stack[at:]
+        if depths := closed_by.get(c):
+            depth = depths[-1]
+            _, opened, before = frames[depth]
+            for mark, _, _ in reversed(frames[depth:]):
+                for x in _OPEN.get(mark, mark):
+                    closed_by[x].pop()
+            del frames[depth:], out[before:]
+            out.append((_PAIR, opened, i))
         elif c in _OPEN or c == '"':
-            stack.append((c, i))
-    return pairs
+            for x in _OPEN.get(c, c):
+                closed_by.setdefault(x, []).append(len(frames))
+            frames.append((c, i, len(out)))
+    return out + bullets[k:]
+
+
+class _Levels:
+    """The stack of list levels of a text: the style of each and the number of its last item."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, int]] = []
+
+    def takes(self, text: str, start: int, end: int, opens: bool) -> bool:
+        """Whether the marker text[start:end] goes on with a level, or opens one where that may be."""
+        marker = text[start:end].strip()
+        word = marker.strip("().")
+        style, numbers = self._read(marker, word)
+        for depth in range(len(self.stack) - 1, -1, -1):
+            if any((s, n - 1) == self.stack[depth] or (s == self.stack[depth][0] and n == 0) for s, n in ((style + k, n) for k, n in numbers)):
+                kind, last = self.stack[depth]
+                del self.stack[depth:]
+                self.stack.append((kind, last + 1 if numbers[0][1] else 0))
+                return True
+        first = next(((style + k, n) for k, n in numbers if n <= 1), None)
+        if first is None or not opens:
+            return False
+        self.stack = [x for x in self.stack if x[0] != first[0]]
+        self.stack.append(first)
+        return True
+
+    @staticmethod
+    def _read(marker: str, word: str) -> tuple[str, list[tuple[str, int]]]:
+        """Style of a marker and what it may count: (kind, number), 0 for a bullet."""
+        if not word or not word.isalnum():
+            return marker, [("*", 0)]
+        style = marker.replace(word, "", 1)
+        if word.isdigit():
+            return style, [("1", int(word))]
+        case = "A" if word.isupper() else "a"
+        readings = []
+        if set(word.lower()) <= set("ivx"):
+            units = {"i": 1, "v": 5, "x": 10}
+            values = [units[c] for c in word.lower()]
+            readings.append((case + "i", sum(-v if v < max(values[j:]) else v for j, v in enumerate(values))))
+        if len(word) == 1:
+            readings.append((case, ord(word.lower()) - ord("a") + 1))
+        return style, readings
 
 
 def _next(text: str, i: int, hi: int) -> int:
@@ -142,8 +220,19 @@ def _carries_on(text: str, i: int, hi: int) -> bool:
     return not c.isupper() and text.startswith(CARRIES_ON, i)
 
 
-def _ends(text: str, lo: int, at: int, end: int, hi: int) -> bool:
-    """Whether the terminators text[at:end], outside all quotations and brackets, end the unit begun at lo."""
+def _seen_before(text: str, lo: int, at: int) -> str:
+    """The last character before a position that is no white space; empty if there is none."""
+    while at > lo and text[at - 1].isspace():
+        at -= 1
+    return text[at - 1] if at > lo else ""
+
+
+def _ends(text: str, lo: int, at: int, end: int, hi: int, token: int, compound: bool) -> bool:
+    """Whether the terminators text[at:end], outside all closed pairs, end the unit begun at lo.
+
+    token is where the characters before them without white space begin; compound says that
+    there are other terminators among those.
+    """
     run = text[at:end].rstrip(_INVISIBLE)
     n = _next(text, end, hi)
     if n >= hi:
@@ -154,27 +243,28 @@ def _ends(text: str, lo: int, at: int, end: int, hi: int) -> bool:
     if c in ",;:)]，、；：）·؛،":
         return False
     if c in _DASHES:
-        return _DASH_ASIDE.match(text, n, hi) is not None or text[_next(text, n + 1, hi) : _next(text, n + 1, hi) + 1].isupper()
+        after = _next(text, n + 1, hi)
+        return _DASH_ASIDE.match(text, n, hi) is not None or text[after : after + 1].isupper()
     if c.islower():
         return False
-    if ";" in run or ";" in run:
-        before = text[lo:at].rstrip()[-1:]
-        return run[0] in ";;" and "Ͱ" <= before <= "Ͽ" or "ἀ" <= before <= "῿"
+    if ";" in run or ";" in run:
+        before = _seen_before(text, lo, at)
+        return run[0] in ";;" and ("Ͱ" <= before <= "Ͽ" or "ἀ" <= before <= "῿")
     if "…" in run or ".." in run:
-        before = text[lo:at].rstrip()[-1:]
+        before = _seen_before(text, lo, at)
         return not (before in PARTICLES and not before.isascii())
     if "!" in run or "?" in run:
         return gap or not c.isdigit()
     # one period
-    token = at
-    while token > lo and not text[token - 1].isspace():
-        token -= 1
-    word = text[token:at].lstrip("“„«‘\"'([（「¿¡<").translate({ord(x): None for x in _INVISIBLE})
     if not gap:
         if c in _OPEN or c == '"':
-            return not word[-1:].isdigit()
+            return not text[at - 1 : at].isdigit()
+        if compound or not c.isupper():
+            return False
+    word = text[token:at].lstrip("“„«‘\"'([（「¿¡<").translate({ord(x): None for x in _INVISIBLE})
+    if not gap:
         plain = word.replace("’", "").replace("'", "").replace("-", "")
-        return c.isupper() and len(plain) > 1 and plain.isalpha() and plain[-2:].islower() and _abbreviation(text, lo, at) is None and not regex.match(r"\w+[./@]\w", text[n : n + 40])
+        return len(plain) > 1 and plain.isalpha() and plain[-2:].islower() and _abbreviation(text, lo, at) is None and not _ADDRESS.match(text, n, hi)
     kind = _abbreviation(text, lo, at)
     if kind == "never":
         return False
@@ -194,9 +284,15 @@ def _ends(text: str, lo: int, at: int, end: int, hi: int) -> bool:
     if bare.isdigit():
         if token <= _next(text, lo, hi):
             return False  # the number of a list item
-        before = text[lo:token].split()[-1:] or [""]
-        following = regex.match(r"\w+", text[n : n + 30])
-        if len(bare) <= 3 and following and (following.group().lower() in GERMAN_MONTHS or before[0].lower() in BEFORE_ORDINAL):
+        if len(bare) == 4 and bare[0] in "12":
+            return True  # a year, no ordinal
+        stop = token
+        while stop > lo and text[stop - 1].isspace():
+            stop -= 1
+        space = _LAST_SPACE.search(text, lo, stop)
+        before = text[space.end() if space else lo : stop]
+        following = _WORD.match(text, n, hi)
+        if following and (following.group().lower() in GERMAN_MONTHS or before.lower() in BEFORE_ORDINAL):
             return False
     return True
 
@@ -218,62 +314,70 @@ def sentence_spans(text: str | None) -> list[tuple[int, int]]:
         if a < b:
             spans.append((a, b))
 
-    at = 0
+    at, levels = 0, _Levels()
     breaks = [(m.start(), m.end()) for m in _BLANK_LINE.finditer(text)] + [(len(text), len(text))]
     for stop, following in breaks:
-        _paragraph(text, at, stop, emit)
+        _paragraph(text, at, stop, emit, levels)
         at = following
     return spans
 
 
-def _paragraph(text: str, lo: int, hi: int, emit) -> None:
+def _paragraph(text: str, lo: int, hi: int, emit, levels: _Levels) -> None:
+    """Put out the units of a paragraph from its events; begin is where the open unit begins."""
     begin = _SPACE.match(text, lo, hi).end()
     if begin >= hi:
         return
-    partner = _partners(text, lo, hi)
-    i = begin
-    while i < hi:
-        m = _EVENT.search(text, i, hi)
-        if m is None:
-            break
-        p, c = m.start(), m.group()
+    i, token, looked = begin, lo, lo
+    for kind, p, end in _events(text, lo, hi):
+        if end <= i and kind != _PAIR or p < i and kind in (_PAIR, _DASH, _LIST):
+            continue
+        p = max(p, i)
+        if kind == _LIST:
+            mark = _next(text, p, hi)
+            # a level opens where a unit begins or after a colon, not inside a hard-wrapped sentence
+            if levels.takes(text, p, end, _next(text, begin, hi) == mark or _seen_before(text, begin, p) in (":", "：")):
+                emit(begin, p)
+                begin, i = mark, end
+                continue
+            if text[end - 1] != ".":
+                continue
+            kind, p = _END, end - 1
         first = _next(text, begin, hi) == p  # nothing of the unit comes before
-        if c in _DASHES:
+        if kind == _DASH:
             aside = _DASH_ASIDE.match(text, p, hi)
             if aside and first:
                 i = begin = _close(text, begin, aside.end(), hi, emit)
-            else:
-                i = aside.end() if aside else p + 1
+            elif aside:
+                i = aside.end()
             continue
-        if p in partner:
-            q = partner[p]
-            if c in _BRACKETS:
+        if kind == _PAIR:
+            q = end
+            i = q + 1
+            if text[p] in _BRACKETS:
                 if first and not _MARKER.fullmatch(text, p + 1, q):
                     i = begin = _close(text, begin, q + 1, hi, emit)
-                else:
-                    i = q + 1
                 continue
-            inner = text[p + 1 : q].rstrip()[-1:]
-            i = q + 1
-            if inner and (inner in _STRONG or inner in ".!?…;;"):
-                while i < hi and text[i] in _CLOSE and i not in partner:
+            inner = _seen_before(text, p + 1, q)
+            if inner and (inner in _STRONG or inner in ".!?…;;"):
+                while i < hi and text[i] in _CLOSE and text[i] != '"':
                     i += 1
                 n = _next(text, i, hi)
                 if n < hi and not _carries_on(text, n, hi):
                     emit(begin, i)
                     begin = i
             continue
-        if c in _CLOSE or c in _OPEN:
-            i = p + 1
-            continue
-        end = m.end()
-        if c[0] in "คค" and c in ("ครับ", "ค่ะ", "คะ"):
+        if text[p:end] in ("ครับ", "ค่ะ", "คะ"):
             emit(begin, end)
             i = begin = end
             continue
-        while end < hi and text[end] in _CLOSE and end not in partner and text[end] != '"':
+        # where the token of these terminators begins; each character is looked at once
+        space = _LAST_SPACE.search(text, looked, p)
+        compound = space is None and looked > max(lo, begin)
+        token = max(space.end() if space else token, begin)
+        looked = end
+        while end < hi and text[end] in _CLOSE and text[end] != '"':
             end += 1
-        if _ends(text, begin, p, end, hi):
+        if _ends(text, begin, p, end, hi, token, compound):
             emit(begin, end)
             begin = end
         i = end
