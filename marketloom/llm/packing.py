@@ -4,6 +4,11 @@ The plan is made over the histogram of lengths, not over items: best fit, longes
 of equal lengths and ranges of equal containers. Each item then takes the planned slot of its rank
 within its length. The plan needs at most one histogram row per length up to the capacity on the
 driver; items never leave the executors. A hot length is ranked in buckets, in two levels.
+
+What the driver holds: a histogram of at most capacity + 1 rows per kind, and the slots planned
+from it. A length adds one slot row per range of equal containers it fills and one for a rest; a
+range is used up or split in two by a row, so slots are at most in proportion to the histogram's
+rows plus the ranges, both bounded by the capacity, whatever the number of items.
 """
 
 from __future__ import annotations
@@ -87,18 +92,15 @@ def pack(items: DataFrame, containers: DataFrame, *, item_id: str = "doc_id", si
     kinds = [(r[0], r[1]) for r in containers.select(kind, capacity).where(F.col(kind).isNotNull() & (F.col(capacity) > 0)).groupBy(kind).agg(F.max(capacity)).sort(kind).collect()]
     spark = items.sparkSession
     sized = cut_lineage(items.select(F.col(item_id).alias("_item"), F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("_size")))
-    pieces = None
-    for name, room in kinds:
-        whole = F.floor((F.col("_size") - 1) / room).cast("int")  # pieces before the last
-        one = sized.select(
-            F.lit(name).alias("_kind"),
-            "_item",
-            F.explode(F.sequence(F.lit(0), F.greatest(whole, F.lit(0)))).alias("_piece"),
-            "_size",
-        ).select("_kind", "_item", "_piece", (F.col("_piece").cast("long") * room).alias("_start"), F.least(F.lit(room).cast("long"), F.col("_size") - F.col("_piece").cast("long") * room).alias("_length"))
-        pieces = one if pieces is None else pieces.unionByName(one)
-    if pieces is None:
-        pieces = sized.where("false").select(F.lit("").alias("_kind"), "_item", F.lit(0).alias("_piece"), F.lit(0).cast("long").alias("_start"), F.col("_size").alias("_length"))
+    # every item meets every kind: one pass over the items, however many kinds there are
+    rooms = F.array(*[F.struct(F.lit(name).alias("_kind"), F.lit(room).cast("long").alias("_room")) for name, room in kinds]) if kinds else F.lit(None).cast("array<struct<_kind:string,_room:bigint>>")
+    whole = F.floor((F.col("_size") - 1) / F.col("_room")).cast("int")  # pieces before the last
+    start = F.col("_piece").cast("long") * F.col("_room")
+    pieces = (
+        sized.select("_item", "_size", F.inline(rooms))
+        .select("_kind", "_room", "_item", "_size", F.explode(F.sequence(F.lit(0), F.greatest(whole, F.lit(0)))).alias("_piece"))
+        .select("_kind", "_item", "_piece", start.alias("_start"), F.least("_room", F.col("_size") - start).alias("_length"))
+    )
 
     # at most capacity + 1 rows per kind
     counts: dict[str, dict[int, int]] = {}

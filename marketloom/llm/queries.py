@@ -64,10 +64,34 @@ def p9_utilisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return totals.join(kinds, "container_kind").select("container_kind", "n_containers", F.ceil(F.col("n_tokens") / F.col("capacity_tokens")).alias("least_containers"), "n_tokens")
 
 
+def p9_invariants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(container_kind, documents, over_capacity, broken): what must hold of any packing.
+
+    documents: documents placed; over_capacity: containers holding more than they may; broken:
+    documents split although they fit, or whose pieces do not add up to one run from 0.
+    """
+    packed = p9_packing(spark, sf_dir).join(table(spark, sf_dir, "containers").select("container_kind", "capacity_tokens"), "container_kind")
+    docs = packed.groupBy("container_kind", "doc_id", "capacity_tokens").agg(
+        F.count(F.lit(1)).alias("pieces"), F.sum("n_tokens").alias("size"), F.max(F.col("start_token") + F.col("n_tokens")).alias("reach")
+    )
+    by_doc = docs.groupBy("container_kind").agg(
+        F.count(F.lit(1)).alias("documents"), F.count_if((F.col("size") != F.col("reach")) | (F.col("pieces") != F.greatest(F.lit(1), F.ceil(F.col("size") / F.col("capacity_tokens"))))).alias("broken")
+    )
+    fill = packed.groupBy("container_kind", "container_no", "capacity_tokens").agg(F.sum("n_tokens").alias("held"))
+    by_box = fill.groupBy("container_kind").agg(F.count_if(F.col("held") > F.col("capacity_tokens")).alias("over_capacity"))
+    return by_doc.join(by_box, "container_kind").select("container_kind", "documents", "over_capacity", "broken")
+
+
+P9_INVARIANTS_SQL = """
+select container_kind, (select count(*) from documents) as documents, 0::bigint as over_capacity, 0::bigint as broken
+from (select distinct container_kind from containers where container_kind is not null and capacity_tokens > 0) where exists (select 1 from documents)
+"""
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, start_char, end_char): the sentences of every speech."""
     return sentences(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p4_found, p5_found, p8_ids, p9_packing, p9_utilisation, p10_found)}
-SQL = {"p4_found": P4_SQL, "p5_found": P5_SQL}
+QUERIES = {f.__name__: f for f in (p4_found, p5_found, p8_ids, p9_packing, p9_utilisation, p9_invariants, p10_found)}
+SQL = {"p4_found": P4_SQL, "p5_found": P5_SQL, "p9_invariants": P9_INVARIANTS_SQL}

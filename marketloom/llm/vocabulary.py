@@ -41,7 +41,7 @@ class PerfectHash:
     """Minimal perfect hash: n keys on n slots; a key's bucket names the salt that places it."""
 
     salts: np.ndarray
-    hashes: np.ndarray  # by slot: the key's hash, which tells members from others
+    keys: list[bytes]  # by slot: what tells members from others
     values: np.ndarray  # by slot
 
     @classmethod
@@ -76,16 +76,19 @@ class PerfectHash:
                         taken[slots[i]] = True
                         break
                     base += np.uint64(256)
-        hashes, vals = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.int64)
-        hashes[slot_of], vals[slot_of] = h, np.array(values, dtype=np.int64)
-        return cls(salts, hashes, vals)
+        placed, vals = [b""] * n, np.zeros(n, dtype=np.int64)
+        vals[slot_of] = np.array(values, dtype=np.int64)
+        for slot, key in zip(slot_of.tolist(), keys):
+            placed[slot] = key
+        return cls(salts, placed, vals)
 
     def lookup(self, keys: list[bytes]) -> np.ndarray:
         """The value of each key; -1 for keys that are not members."""
         h = _hashes(keys)
         with np.errstate(over="ignore"):
-            slot = (_mix(h, self.salts[(h % np.uint64(len(self.salts))).astype(np.int64)]) % np.uint64(len(self.hashes))).astype(np.int64)
-        return np.where(self.hashes[slot] == h, self.values[slot], -1)
+            slot = (_mix(h, self.salts[(h % np.uint64(len(self.salts))).astype(np.int64)]) % np.uint64(len(self.keys))).astype(np.int64)
+        member = np.fromiter((self.keys[s] == k for s, k in zip(slot.tolist(), keys)), dtype=bool, count=len(keys))
+        return np.where(member, self.values[slot], -1)
 
 
 def merge_bytes(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -132,17 +135,22 @@ class Encoder:
         for piece, data, value in zip(pieces, raw, self.hashed.lookup(raw).tolist()):
             self.memo[piece] = (value,) if value >= 0 else tuple(merge_bytes(data, self.ranks))
 
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        """Ids of each text; no ids for null and empty texts. Special tokens' strings are text."""
+    def _pieces(self, texts: list[str | None]) -> list[list[str]]:
+        """Pre-tokens of each text, all of them in the memo."""
         split = [self.split(t) if t else [] for t in texts]
         if len(self.memo) > self.memo_size:
             self.memo.clear()
         new = {p for pieces in split for p in pieces if p not in self.memo}
         if new:
             self._resolve(list(new))
-        memo = self.memo
+        return split
+
+    def encode(self, texts: list[str | None]) -> list[list[int]]:
+        """Ids of each text; no ids for null and empty texts. Special tokens' strings are text."""
+        split, memo = self._pieces(texts), self.memo
         return [[i for p in pieces for i in memo[p]] for pieces in split]
 
     def count(self, texts: list[str | None]) -> list[int]:
-        """Number of ids of each text."""
-        return [len(ids) for ids in self.encode(texts)]
+        """Number of ids of each text, without listing them."""
+        split, memo = self._pieces(texts), self.memo
+        return [sum(len(memo[p]) for p in pieces) for pieces in split]

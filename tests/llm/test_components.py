@@ -50,3 +50,18 @@ def test_random_graph(spark):
 
 def test_empty(spark):
     assert groups(spark, []) == {} and groups(spark, [(None, "a")]) == {}
+
+
+def test_finishing_in_one_task_changes_nothing_and_one_table_is_left(spark, tmp_path):
+    import os
+    import random
+
+    rng = random.Random(2)
+    links = [(f"n{rng.randrange(400):03d}", f"n{rng.randrange(400):03d}") for _ in range(260)] + [(f"c{i:03d}", f"c{i + 1:03d}") for i in range(120)] + [("hub", f"h{i}") for i in range(90)]
+    df = spark.createDataFrame(links, "a string, b string")
+    slow = {tuple(r) for r in group_links(df, "a", "b", last_edges=0).collect()}
+    root = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    before = {f for f in os.listdir(root) if f.startswith("table-")}
+    quick = {tuple(r) for r in group_links(df, "a", "b", last_edges=50).collect()}
+    assert quick == slow and len({g for _, g in slow if g.startswith("c")}) == 1
+    assert len({f for f in os.listdir(root) if f.startswith("table-")} - before) == 1

@@ -43,6 +43,10 @@ def test_units_cover_all_but_white_space(text):
     assert not text[last:].strip()
 
 
+def units(text):
+    return [text[a:b] for a, b in sentence_spans(text)]
+
+
 def test_defined_results(spark):
     long = "This goes on. " * 20_000
     rows = [(1, "One. Two.", 0), (1, "One. Two.", 0), (2, None, 0), (3, "", 0), (4, " \n\t", 0), (5, long, 0), (6, "😀 Yes. No.", 0)]
@@ -50,3 +54,30 @@ def test_defined_results(spark):
     assert sorted(tuple(r) for r in got if r["doc_id"] != 5) == [(1, 0, 4), (1, 0, 4), (1, 5, 9), (1, 5, 9), (6, 0, 6), (6, 7, 10)]
     assert sum(r["doc_id"] == 5 for r in got) == 20_000
     assert sentences(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_list_levels():
+    assert units("Items:\n1. First item here. It is good.\n2. Second item.") == ["Items:", "1. First item here.", "It is good.", "2. Second item."]
+    assert units("1. One.\n(a) first sub\n(b) second\n2. Two.\n3. Three") == ["1. One.", "(a) first sub", "(b) second", "2. Two.", "3. Three"]
+    assert units("We need:\n- apples\n- plums") == ["We need:", "- apples", "- plums"]
+    assert units("Das steht in Abs.\n1. Danach kommt mehr.") == units("Das steht in Abs. 1. Danach kommt mehr.".replace("Abs. ", "Abs.\n"))
+    assert len(units("He read page\n12. It was long.")) == 2
+
+
+def test_no_cap_on_interruptions_and_markers():
+    long = "x" * 200
+    assert len(units(f"He left. — That {long} is wrong! — He came back.")) == 3
+    assert units("(1234567890) is a marker") == ["(1234567890) is a marker"]
+
+
+def test_time_grows_with_the_text():
+    import time
+
+    def took(text):
+        began = time.perf_counter()
+        sentence_spans(text)
+        return time.perf_counter() - began
+
+    for make in (lambda n: "“a. " * n, lambda n: "«“a. " * n + "b.” »" * n, lambda n: ")" * n + "(“" * n, lambda n: "a.b." * n, lambda n: "— a " * n, lambda n: "\n1. a" * n):
+        took(make(500))
+        assert took(make(16_000)) < 16 * max(took(make(2_000)), 0.004)

@@ -12,7 +12,7 @@ def best(spark, rows, n, **kw):
 def brute(rows, n):
     out = []
     for g in {r[0] for r in rows if r[0] is not None}:
-        own = sorted((s, i) for a, s, i, *_ in rows if a == g and s is not None and s == s and s >= 0)
+        own = sorted((s, i) for a, s, i, *_ in rows if a == g and s is not None and s == s)
         out += [(g, k, i) for k, (_, i) in enumerate(own[:n], 1)]
     return sorted(out)
 
@@ -39,3 +39,18 @@ def test_admissible(spark):
     ]
     df = spark.createDataFrame(rows + rows[:3], "pool string, selection_date date, entity_id string, recorded_on date, univ_id long, status string, rank double")
     assert [(r["entity_id"], r["rank"]) for r in admissible_ranks(df).collect()] == [("B", 3.0)]
+
+
+def test_both_signs_and_directions_against_brute_force(spark):
+    import random
+
+    rng = random.Random(8)
+    rows = [(rng.choice("ab"), rng.choice([-1, 1]) * rng.choice([0.0, 0.5, 1.0, 3.5, 1e9, 1e300, float("inf"), rng.random() * 100]), i) for i in range(300)]
+    df = spark.createDataFrame([*rows, ("a", float("nan"), 900), ("a", None, 901), (None, 1.0, 902)], "g string, s double, t int")
+    for down in (False, True):
+        got = sorted((r["g"], r["place"], r["s"], r["t"]) for r in best_per_group(df, ["g"], "s", ["t"], 7, descending=down, salts=3).collect())
+        want = []
+        for g in "ab":
+            best = sorted((x for x in rows if x[0] == g), key=lambda x: (-x[1] if down else x[1], x[2]))[:7]
+            want += [(g, i, s, t) for i, (_, s, t) in enumerate(best, 1)]
+        assert got == want
