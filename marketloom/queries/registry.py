@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from marketloom.queries import domain, relations, research, strategies, studies, training, windows
+from marketloom.queries import domain, ladder, relations, research, strategies, studies, training, windows
 
-MODULES = [training, windows, relations, strategies, research, domain, studies]
+MODULES = [training, windows, relations, strategies, research, ladder, domain, studies]
 
 
 def queries() -> dict:

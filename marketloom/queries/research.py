@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from marketloom.functions.subjects import continuity, subject_kind_factor
 from marketloom.operators import identity as N
 from marketloom.operators import indicators as I
-from marketloom.operators import ladder as L
 from marketloom.operators import quality as Q
 from marketloom.operators import stats as T
 from marketloom.plans.bars import BARS, HOURS, LIQUID, MONTHS, daily_bars, hourly_bars, liquidity_panel, month_panel, r6
@@ -105,58 +104,6 @@ def ret_quality(spark, d):
     return ret_adjusted(spark, d).groupBy("entity", "return_status").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _members(spark, d):
-    return L.legs(L.formations(month_panel(spark, d)))
-
-
-def ladder_calendar(spark, d):
-    """O-S14: last market day of each month, the first one after it, and the one after the next month's end."""
-    days = daily_bars(spark, d).select("ts").distinct()
-    ends = days.groupBy(F.trunc("ts", "MM").alias("m")).agg(F.max("ts").alias("t"), F.min("ts").alias("first"))
-    w = Window.partitionBy(F.lit(0)).orderBy("t")
-    return ends.select("t", F.lead("first", 1).over(w).alias("s_plus"), F.lead("first", 2).over(w).alias("s_pp"), F.date_format(F.add_months("m", 1), "yyyy-MM").alias("holding_month"))
-
-
-def ladder_formation(spark, d):
-    """O-S18, O-W8: growth from twelve months to one month ago."""
-    return L.formations(month_panel(spark, d)).select("t", "entity", r6(F.col("score")).alias("score"))
-
-
-def ladder_legs(spark, d):
-    """O-K3, O-S15: winners and losers of each month."""
-    return _members(spark, d)
-
-
-def _daily(spark, d):
-    """Value of each nation's suppliers by day as a return; days of little value are not ok."""
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("entity"))
-    p = liquidity_panel(spark, d).withColumnRenamed("entity", "k").join(s, "k").groupBy("entity", "date").agg(F.sum(F.col("value").cast("decimal(18,2)")).cast("double").alias("value"))
-    return p.select("entity", "date", (F.col("value") / 1e8).alias("ret"), (F.col("value") > 20000).alias("ok"))
-
-
-def ladder_holding(spark, d):
-    """O-S19 to O-S21, O-P14: growth of each leg from s+ to s++, bad days filled with the leg's mean, exit gaps and delistings booked."""
-    x = L.held_returns(_members(spark, d), _daily(spark, d))
-    return x.select("t", "leg", r6(F.col("growth")).alias("growth"), "n")
-
-
-def ladder_gaps(spark, d):
-    """O-S21: members without a day at s++ and the first later day booked for them, null if there is none."""
-    return L.gap_bookings(_members(spark, d), _daily(spark, d)).select("t", "entity", "booked")
-
-
-def ladder_delta(spark, d):
-    """O-S23, O-G18: winners less losers by month in per cent."""
-    x = L.held_returns(_members(spark, d), _daily(spark, d))
-    w = x.groupBy("t").pivot("leg", ["W", "L"]).agg(F.first("growth"))
-    return w.select("t", r6((F.col("W") - F.col("L")) * 100).alias("wml"))
-
-
-def ladder_turnover(spark, d):
-    """O-S24, O-J18: traded weight of each leg."""
-    return L.turnover(_members(spark, d)).select("t", "leg", r6(F.col("traded")).alias("traded"))
-
-
 def _changes(spark, d):
     return daily_bars(spark, d).withColumn("c", I.change("close", 1) / 100)
 
@@ -240,7 +187,7 @@ def q_fingerprint(spark, d):
     return Q.fingerprint(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_totalprice"))
 
 
-_NAMES = "func_subjects func_continuity func_isclose id_segments id_entities id_entities_as_of pit_universe ret_adjusted ret_quality ladder_calendar ladder_formation ladder_legs ladder_holding ladder_gaps ladder_delta ladder_turnover stat_newey_west stat_sharpe stat_multiple stat_deflated stat_bootstrap stat_randomisation q_flags q_defective q_merge q_jumps q_fingerprint"
+_NAMES = "func_subjects func_continuity func_isclose id_segments id_entities id_entities_as_of pit_universe ret_adjusted ret_quality stat_newey_west stat_sharpe stat_multiple stat_deflated stat_bootstrap stat_randomisation q_flags q_defective q_merge q_jumps q_fingerprint"
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 _W = "(partition by symbol order by ts"
@@ -256,10 +203,6 @@ y as (select x.*, close / prev_close - 1 as ret_raw, case when n is not null the
 z as (select *, case when event_factor is null or ret_raw is null then null when abs(ln(event_factor)) < ln(1.25) then 'INCONCLUSIVE' when abs(ln((1 + ret_raw) / event_factor)) < ln(1.25) and abs(ln((1 + ret_raw) / event_factor)) < abs(ln(1 + ret_raw)) then 'VALIDATED' else 'DISCREPANT' end as es from y),
 ret as (select *, case when es = 'VALIDATED' then close / (prev_close * event_factor) - 1 end as ret_adj from z),
 fin as (select *, case when prev_date is null then 'FIRST_OBSERVATION' when es = 'DISCREPANT' then 'EVENT_DISCREPANT' when es = 'INCONCLUSIVE' then 'EVENT_INCONCLUSIVE' when abs(ln(1 + coalesce(ret_adj, ret_raw))) > ln(1.4) then 'UNEXPLAINED_JUMP' when es = 'VALIDATED' then 'ADJUSTED_VALIDATED' else 'OK' end as return_status from ret)"""
-_FORM = f"{MONTHS}, form as (select b.entity, (b.month + interval 1 month)::date as t, b.value / a.value - 1 as score from months a join months b on a.entity = b.entity and b.month = a.month + interval 11 month)"
-_LEGS = f"{_FORM}, rk as (select *, row_number() over (partition by t order by score desc, entity) as i, count(*) over (partition by t) as n from form), mem as (select t, entity, case when i <= floor(n * 0.3 + 0.5) then 'W' else 'L' end as leg from rk where i <= floor(n * 0.3 + 0.5) or i > n - floor(n * 0.3 + 0.5))"
-_DAILY = f"{LIQUID}, nd as (select s_nationkey as entity, date, sum(value::decimal(18,2))::double as value from liquid join supplier on s_suppkey = entity group by 1, 2), dl as (select entity, date, value / 1e8 as ret, value > 20000 as ok from nd where ((date - date '1990-01-01') + entity * 3) % 11 < 5)"
-_HOLD = f"{_LEGS}, {_DAILY}, hd as (select m.*, d.date, d.ret, d.ok, avg(d.ret) filter (d.ok) over (partition by m.t, m.leg, d.date) as fill from mem m join dl d on d.entity = m.entity and date_trunc('month', d.date)::date = m.t), hg as (select t, leg, entity, product(1 + case when ok then ret else coalesce(fill, 0) end) as g from hd group by 1, 2, 3), hold as (select t, leg, avg(g) - 1 as growth, count(*) as n from hg group by 1, 2)"
 _CH = f"{BARS}, ch as (select symbol, ts, (close / lag(close) over {_W}) - 1) / 100 as c from bars)"
 _TESTS = f"{MONTHS}, tests as (select entity as name, min(value) / max(value) as p from months group by 1)"
 _LUCKY = (1 - 0.5772156649015329) * T.NORMAL.inv_cdf(0.8) + 0.5772156649015329 * T.NORMAL.inv_cdf(1 - 1 / (5 * math.e))
@@ -279,13 +222,6 @@ r as (select *, case when reason is null then row_number() over (partition by sd
 select sd as selection_date, entity, v as valid_sessions, round(md, 6) + 0.0 as median_value, place, coalesce(reason, case when place <= 20 then 'MEMBER' else 'ELIGIBLE_NOT_SELECTED' end) as status from r""",
     "ret_adjusted": f"with {_RET} select entity, date, {_R.format('ret_raw')}, event_factor, {_R.format('ret_adj')}, return_status from fin",
     "ret_quality": f"with {_RET} select entity, return_status, count(*) as n from fin group by 1, 2",
-    "ladder_calendar": "with e as (select max(o_orderdate::date) as t, min(o_orderdate::date) as f, date_trunc('month', o_orderdate) as m from orders group by 3) select t, lead(f, 1) over (order by t) as s_plus, lead(f, 2) over (order by t) as s_pp, strftime(m + interval 1 month, '%Y-%m') as holding_month from e",
-    "ladder_formation": f"with {_FORM} select t, entity, {_R.format('score')} from form",
-    "ladder_legs": f"with {_LEGS} select t, entity, leg from mem",
-    "ladder_holding": f"with {_HOLD} select t, leg, {_R.format('growth')}, n from hold",
-    "ladder_gaps": f"with {_LEGS}, {_DAILY}, few as (select entity, date from dl where month(date) % 3 <> 0) select t, m.entity, (select min(date) from few f where f.entity = m.entity and f.date >= last_day(m.t)) as booked from mem m where not exists (select 1 from few f where f.entity = m.entity and date_trunc('month', f.date)::date = m.t)",
-    "ladder_delta": f"with {_HOLD} select t, round((max(growth) filter (leg = 'W') - max(growth) filter (leg = 'L')) * 100, 6) + 0.0 as wml from hold group by 1",
-    "ladder_turnover": f"with {_LEGS}, w as (select *, 1.0::double / count(*) over (partition by t, leg) as w from mem), j as (select coalesce(a.t, (b.t + interval 1 month)::date) as t, coalesce(a.leg, b.leg) as leg, abs(coalesce(a.w, 0) - coalesce(b.w, 0)) as x from w a full join w b on a.t = b.t + interval 1 month and a.leg = b.leg and a.entity = b.entity) select t, leg, round(sum(x), 6) + 0.0 as traded from j where (t, leg) in (select (t, leg) from mem) group by 1, 2",
     "stat_newey_west": f"with {_CH}, x as (select symbol, ts, c, c - avg(c) over (partition by symbol) as d from ch where c is not null), k as (select symbol, c, d * d + " + " + ".join(f"2 * (1 - {k} / 5.0::double) * coalesce(d * lag(d, {k}) over {_W}), 0)" for k in range(1, 5)) + " as t from x), g as (select symbol, count(*) as n, avg(c) as mean, sum(t) / count(*) as lrv from k group by 1) select symbol, n, round(mean, 6) + 0.0 as mean, round(lrv, 6) + 0.0 as lrv, round(mean / sqrt(lrv / n), 6) + 0.0 as t from g",
     "stat_sharpe": f"with {_CH} select symbol, round(avg(c) / stddev_samp(c) * sqrt(252), 6) + 0.0 as sharpe from ch group by 1",
     "stat_multiple": f"with {_TESTS}, r as (select *, row_number() over (order by p, name) as i, count(*) over () as n from tests) select name, round(p, 6) + 0.0 as p, round(least(1, max((n - i + 1) * p) over (order by p, name rows unbounded preceding)), 6) + 0.0 as holm, round(least(1, min(n * p / i) over (order by p, name rows between current row and unbounded following)), 6) + 0.0 as bh from r",

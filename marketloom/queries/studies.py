@@ -50,13 +50,6 @@ def status_untradable(spark, d):
     return n.groupBy("symbol", (7 - F.col("k")).alias("lacking")).agg(F.count(F.lit(1)).alias("sessions"))
 
 
-def study_panel(spark, d):
-    """O-S16: class of each return row: first, good or bad, and the return that a study may use."""
-    x = research.ret_adjusted(spark, d)
-    cls = F.when(F.col("return_status").isin("OK", "ADJUSTED_VALIDATED"), "OK").when(F.col("return_status") == "FIRST_OBSERVATION", "FIRST").otherwise("BAD")
-    return x.select("entity", "date", cls.alias("cls"), F.when(cls == "OK", F.coalesce("ret_adj", "ret_raw")).alias("ret"))
-
-
 def check_ranks(spark, d):
     """O-P12, O-Q6: selections by pool whose valid ranks are not 1 to n without repeats."""
     u = table(spark, d, "univ1_pit_universe").select("pool", "selection_date", "entity_id", "recorded_on", "univ_id", known("rank").alias("rank"))
@@ -97,7 +90,7 @@ def reference_months(spark, d):
     return f.groupBy(F.trunc("flagged_on", "MM").alias("month"), F.weekday("flagged_on").alias("weekday")).agg(F.count(F.lit(1)).alias("n"), F.count("s").alias("with_segment"))
 
 
-_NAMES = "study_exit_bar study_parts label_instruments compare_reports status_untradable study_panel check_ranks rates_usable stat_verdict stat_detectable baseline_random_entry reference_months"
+_NAMES = "study_exit_bar study_parts label_instruments compare_reports status_untradable check_ranks rates_usable stat_verdict stat_detectable baseline_random_entry reference_months"
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 _W = "(partition by symbol order by ts"
@@ -108,7 +101,6 @@ SQL = {
     "label_instruments": "select segment_id, case when coalesce(isin, '') = '' then 'UNKNOWN' when starts_with(isin, 'ZZF') then 'FUND_UNIT' when starts_with(isin, 'ZZE') then 'EQUITY' else 'OTHER' end as kind, concat_ws(' ', symbol, case when removed_on is not null then 'removed' end) as label, round_even(n_sessions / 4.0::double, 0)::bigint as quarters from id1_segments",
     "compare_reports": f"select symbol, (round_even(max_drawdown_pct, 2) - round_even(exposure_pct, 2))::decimal(18,2)::double as difference from ({strategies.SQL['bt_report']})",
     "status_untradable": f"with {HOURS}, n as (select symbol, session, count(*) filter (time between '09:00' and '15:00') as k from hours group by 1, 2) select symbol, 7 - k as lacking, count(*) as sessions from n group by 1, 2",
-    "study_panel": f"select entity, date, case when return_status in ('OK', 'ADJUSTED_VALIDATED') then 'OK' when return_status = 'FIRST_OBSERVATION' then 'FIRST' else 'BAD' end as cls, case when return_status in ('OK', 'ADJUSTED_VALIDATED') then coalesce(ret_adj, ret_raw) end as ret from ({research.SQL['ret_adjusted']})",
     "check_ranks": "with l as (select * from univ1_pit_universe qualify row_number() over (partition by pool, selection_date, entity_id order by recorded_on desc, univ_id desc) = 1), g as (select pool, selection_date, count(*) as n, count(distinct rank) as k, max(rank) as top from l where rank >= 1 and not isnan(rank) group by 1, 2) select pool, count(*) as selections, count(*) filter (n <> k or n <> top) as irregular from g group by 1",
     "rates_usable": "with r as (select distinct on (rate_id) * from delivery_nse_eq_s2mom_v1_dated) select component, count(*) as rows, count(*) filter (rate is not null and not isnan(rate) and basis is not null) as usable, count(*) filter (known_on > \"from\") as late, count(*) filter (\"to\" is null) as open from r group by 1",
     "stat_verdict": f"select symbol, case when t > {T.NORMAL.inv_cdf(0.95)!r} then 'POSITIVE' when t < -{T.NORMAL.inv_cdf(0.95)!r} then 'NEGATIVE' else 'INCONCLUSIVE' end as verdict from ({research.SQL['stat_newey_west']})",

@@ -17,12 +17,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named by the cluster; make a private one only where none is set."""
+    """Use the shared folder named by the cluster; a local session without one gets a private one.
+
+    On a cluster a folder of one machine would lose data with it, so there the setting is required.
+    """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
     named = context.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    context.setCheckpointDir(named or tempfile.mkdtemp(prefix="marketloom-ckpt-"))
+    if not named:
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        named = tempfile.mkdtemp(prefix="marketloom-ckpt-")
+    context.setCheckpointDir(named)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
