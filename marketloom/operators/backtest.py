@@ -1,12 +1,11 @@
 """Next-open backtests of 0/1 positions, and their report.
 
 Without stops the equity is a running product of per-bar growth factors, all windows over one
-exchange. With stops a small state machine runs once over each symbol's bars.
+exchange. With stops a fold runs once over each symbol's bars.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,31 +65,43 @@ def stopped_trades(bars: DataFrame, *, stop_loss: float | None = None, trailing_
     """(symbol, entry_ts, entry, exit_ts, exit, pnl_pct, reason) with stops checked at every close.
 
     A close below the stop is sold at the next open as "stop"; then no entry until a later bar has
-    seen the signal off. A trade still held at the end is "open" without exit. One state per
-    symbol, one pass over its bars.
+    seen the signal off. A trade still held at the end is "open" without exit. A JVM fold over
+    each symbol's sorted bars, as many as its sessions; its state is one struct.
     """
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("ts")
-        want_before, inside, hit, blocked, entry, peak, out = 0, False, False, False, 0.0, 0.0, []
-        for ts, opened, close, position in zip(rows["ts"], rows["open"], rows["close"], rows["position"]):
-            want = want_before
-            if not want:
-                blocked = False
-            if inside and (hit or not want):
-                reason = "stop" if hit else "signal"
-                out[-1][3:] = [ts, opened, (opened / entry - 1) * 100, reason]
-                blocked, inside, hit = blocked or hit, False, False
-            elif not inside and want and not blocked:
-                inside, entry, peak = True, opened, opened
-                out.append([rows["symbol"].iloc[0], ts, opened, None, None, None, "open"])
-            if inside:
-                peak = max(peak, close)
-                hit = (stop_loss is not None and close < entry * (1 - stop_loss)) or (trailing_stop is not None and close < peak * (1 - trailing_stop))
-            want_before = position
-        return pd.DataFrame(out, columns=["symbol", "entry_ts", "entry", "exit_ts", "exit", "pnl_pct", "reason"]).astype({"entry": float, "exit": float, "pnl_pct": float})
-
-    return bars.select("symbol", "ts", "open", "close", "position").groupBy("symbol").applyInPandas(run, "symbol string, entry_ts date, entry double, exit_ts date, exit double, pnl_pct double, reason string")
+    trade = "entry_ts date, entry double, exit_ts date, exit double, pnl_pct double, reason string"
+    start = F.lit(None).cast(f"struct<wanted:int, inside:boolean, entry_ts:date, entry:double, peak:double, stopped:boolean, barred:boolean, trades:array<struct<{trade.replace(' ', ':').replace(',:', ',')}>>>")
+    no, nothing = F.lit(False), F.lit(None)
+
+    def step(s: Column, bar: Column) -> Column:
+        was_in, due = F.coalesce(s["inside"], no), F.coalesce(s["stopped"], no)
+        signal = F.coalesce(s["wanted"], F.lit(0)) == 1  # of the bar before
+        barred = F.coalesce(s["barred"], no) & signal
+        sells, buys = was_in & (due | ~signal), ~was_in & signal & ~barred
+        inside = (was_in & ~sells) | buys
+        entry = F.when(buys, bar["open"]).otherwise(s["entry"])
+        top = F.when(buys, F.greatest(bar["open"], bar["close"])).otherwise(F.greatest(s["peak"], bar["close"]))
+        floors = [entry * (1 - stop_loss)] if stop_loss is not None else []
+        floors += [top * (1 - trailing_stop)] if trailing_stop is not None else []
+        below = F.coalesce(bar["close"] < (F.greatest(*floors) if len(floors) > 1 else floors[0]), no) if floors else no
+        done = F.struct(s["entry_ts"].alias("entry_ts"), s["entry"].alias("entry"), bar["ts"].alias("exit_ts"), bar["open"].alias("exit"), ((bar["open"] / s["entry"] - 1) * 100).alias("pnl_pct"), F.when(due, "stop").otherwise("signal").alias("reason"))
+        trades = F.coalesce(s["trades"], F.array().cast(f"array<struct<{trade.replace(' ', ':').replace(',:', ',')}>>"))
+        return F.struct(
+            bar["position"].cast("int").alias("wanted"),
+            inside.alias("inside"),
+            F.when(buys, bar["ts"]).otherwise(s["entry_ts"]).alias("entry_ts"),
+            entry.alias("entry"),
+            top.alias("peak"),
+            (inside & below).alias("stopped"),
+            (barred | (sells & due)).alias("barred"),
+            F.when(sells, F.concat(trades, F.array(done))).otherwise(trades).alias("trades"),
+        )
+
+    def finish(s: Column) -> Column:
+        still = F.struct(s["entry_ts"].alias("entry_ts"), s["entry"].alias("entry"), nothing.cast("date").alias("exit_ts"), nothing.cast("double").alias("exit"), nothing.cast("double").alias("pnl_pct"), F.lit("open").alias("reason"))
+        return F.when(s["inside"], F.concat(s["trades"], F.array(still))).otherwise(s["trades"])
+
+    packed = bars.groupBy("symbol").agg(F.array_sort(F.collect_list(F.struct("ts", "open", "close", "position"))).alias("rows"))
+    return packed.select("symbol", F.inline(F.aggregate("rows", start, step, finish)))
 
 
 def rotation(bars: DataFrame, *, look_back: int = 126, every: int = 21, top: int = 2, cost: float = COST) -> DataFrame:

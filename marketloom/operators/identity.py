@@ -27,28 +27,32 @@ def entities(nodes: DataFrame, links: DataFrame, *, first: str | None = None, as
     """(node, entity): connected groups of nodes over links (a, b, effective).
 
     entity is the smallest node of the group or, with first, the node of the earliest first (then
-    the smallest). With as_of only links effective by that day count. Labels spread to neighbours
-    and are shortened to their own label each round; every round is written out, so the loop's
-    plan stays flat; it ends when no label changes.
+    the smallest). With as_of only links effective by that day count; links to unknown nodes don't.
+    Each round takes minimum neighbours, jumps the pointers once and contracts the edges to them,
+    until no edge is left; every round is written out and removed at the end.
     """
     rank = F.struct(*([F.col(first)] if first else []), F.col("node"))
-    named = nodes.select("node", rank.alias("label"))
+    named, n_path = write_out(nodes.select("node", rank.alias("rank")))
     e = links if as_of is None else links.where(F.col("effective") <= F.lit(as_of))
-    e = e.select("a", "b").where("a != b")
-    both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    spark = nodes.sparkSession
-    label, path = write_out(named)
-    edges, edge_path = write_out(both)
-    while True:
-        near = edges.join(label.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        lower = label.join(near, "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("low"))
-        top = label.select(F.col("node").alias("via"), F.col("label").alias("jump"))
-        moved = lower.withColumn("via", F.col("low.node")).join(top, "via", "left").select("node", F.least("low", F.coalesce("jump", "low")).alias("label"), (F.least("low", F.coalesce("jump", "low")) != F.col("label")).alias("moved"))
-        new, new_path = write_out(moved)
-        drop_written(spark, path)
-        label, path = new.select("node", "label"), new_path
-        if new.where("moved").isEmpty():
-            return label.select("node", F.col("label.node").alias("entity"))
+    end = lambda c: named.select(F.col("node").alias(c), F.col("rank").alias(f"{c}_rank"))
+    pairs = e.select("a", "b").where("a != b").distinct().join(end("a"), "a").join(end("b"), "b")
+    edges, path = write_out(pairs.select(F.least("a_rank", "b_rank").alias("a"), F.greatest("a_rank", "b_rank").alias("b")).distinct())
+    paths, label = [n_path, path], named.select("node", "rank", F.col("rank").alias("label"))
+    while not edges.isEmpty():
+        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy(F.col("a").alias("at")).agg(F.min("b").alias("m")).select("at", F.least("at", "m").alias("to"))
+        # the pointer of the pointer: labels only fall, so there are no cycles
+        hop = least.join(least.select(F.col("at").alias("to"), F.col("to").alias("above")), "to").select("at", F.col("above").alias("to"))
+        pointer, path = write_out(hop)
+        paths.append(path)
+        label = label.join(pointer.select(F.col("at").alias("label"), F.col("to").alias("_to")), "label", "left").select("node", "rank", F.coalesce("_to", "label").alias("label"))
+        step = lambda c: pointer.select(F.col("at").alias(c), F.col("to").alias(f"{c}_to"))  # noqa: B023, E731
+        moved = edges.join(step("a"), "a").join(step("b"), "b").select(F.least("a_to", "b_to").alias("a"), F.greatest("a_to", "b_to").alias("b"))
+        edges, path = write_out(moved.where("a != b").distinct())
+        paths.append(path)
+    result, _ = write_out(label.select("node", F.col("label.node").alias("entity")))
+    drop_written(nodes.sparkSession, *paths)
+    return result
 
 
 def universe(panel: DataFrame, *, window: int, least_valid: int, top: int) -> DataFrame:

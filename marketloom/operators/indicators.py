@@ -1,11 +1,12 @@
 """Moving averages, oscillators and other functions of ordered series.
 
 Every function adds columns to bars with symbol, ts and close; all windows of one call share the
-exchange on symbol. Recursive ones fold over a symbol's sorted series on the JVM side.
+exchange on symbol. Recursive ones pass once over a symbol's series as an array.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,25 +27,28 @@ def sma(bars: DataFrame, n: int, name: str | None = None) -> DataFrame:
     return bars.withColumn(name or f"sma_{n}", full_window(F.avg, F.col("close"), n, by_symbol()))
 
 
-def fold(bars: DataFrame, value: str, name: str, start, step, keep: tuple[str, ...] = ("ts", "close")) -> DataFrame:
-    """A running fold over each symbol's series, sorted by ts: start(x0), then step(state, x).
+def running(bars: DataFrame, name: str, of, value: str = "close", key: str = "symbol", order: str = "ts") -> DataFrame:
+    """bars with a double column name = of(pandas series of value in order), one vectorised pass per key.
 
-    One array per symbol, as long as its sessions.
+    One group is held at a time, as long as its sessions; time grows with its rows, not their square.
     """
-    rows = F.array_sort(F.collect_list(F.struct(*keep)))
-    states = F.aggregate(
-        F.slice("rows", 2, F.size("rows")),
-        F.array(start(F.element_at("rows", 1)[value])),
-        lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), x[value]))),
-    )
-    packed = bars.groupBy("symbol").agg(rows.alias("rows")).withColumn("states", states)
-    return packed.select("symbol", F.explode(F.arrays_zip("rows", "states")).alias("z")).select("symbol", *[F.col(f"z.rows.{k}").alias(k) for k in keep], F.col("z.states").alias(name))
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bars.schema.fields) + f", `{name}` double"
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(order, kind="stable")
+        return rows.assign(**{name: of(rows[value].astype(float))})
+
+    return bars.groupBy(key).applyInPandas(run, schema)
 
 
 def ema(bars: DataFrame, n: int, name: str | None = None) -> DataFrame:
     """Exponential average with factor 2 / (n + 1), started at the first close; no warm-up nulls."""
-    a = 2.0 / (n + 1)
-    return fold(bars, "close", name or f"ema_{n}", lambda x: x, lambda y, x: x * a + y * (1 - a))
+    return running(bars, name or f"ema_{n}", lambda x: x.ewm(alpha=2.0 / (n + 1), adjust=False).mean())
+
+
+def expanding_median(rows: DataFrame, value: str, name: str, key: str = "symbol", order: str = "ts") -> DataFrame:
+    """Median of all values up to each row, nulls aside; an ordered structure keeps it in n log n."""
+    return running(rows, name, lambda x: x.expanding().median(), value, key, order)
 
 
 def crossover(bars: DataFrame, fast: str, slow: str) -> DataFrame:

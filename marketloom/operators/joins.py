@@ -27,14 +27,31 @@ def asof_forward(events: DataFrame, rows: DataFrame, key: str, event_day: str, r
 def interval_lookup(facts: DataFrame, periods: DataFrame, key: str, day: str, start: str, end: str, value: str) -> DataFrame:
     """facts with the value of the one period in force; raises if none or several are.
 
-    For small period tables; Spark broadcasts them by their own size.
+    That no two periods of a key overlap is checked on the periods alone, so the facts only meet
+    them in a left join, without an exchange as long as Spark can broadcast the periods.
     """
-    p = periods.select(key, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(value).alias(value))
-    f = facts.withColumn("_id", F.monotonically_increasing_id())
-    hit = f.join(p, (f[key] == p[key]) & (f[day] >= p["_s"]) & (p["_e"].isNull() | (f[day] <= p["_e"])), "left").drop(p[key])
-    n = F.count("_s").over(Window.partitionBy("_id"))
-    checked = F.when(F.col("_n") == 1, F.col(value)).otherwise(F.raise_error(F.lit("not exactly one period in force")).cast("double"))
-    return hit.withColumn("_n", n).withColumn(value, checked).drop("_n", "_s", "_e", "_id")
+    order = Window.partitionBy(key).orderBy("_s")
+    p = periods.select(key, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(value).alias(value)).where("_s is not null")
+    later = F.lead("_s").over(order)
+    apart = later.isNull() | F.coalesce(F.col("_e") < later, F.lit(False))
+    p = p.withColumn("_apart", apart).withColumn("_s", F.when(F.col("_apart"), F.col("_s")).otherwise(F.raise_error(F.lit("not exactly one period in force")).cast("date"))).drop("_apart")
+    hit = facts.join(p, (facts[key] == p[key]) & (facts[day] >= p["_s"]) & (p["_e"].isNull() | (facts[day] <= p["_e"])), "left").drop(p[key])
+    checked = F.when(F.col("_s").isNotNull(), F.col(value)).otherwise(F.raise_error(F.lit("not exactly one period in force")).cast("double"))
+    return hit.withColumn(value, checked).drop("_s", "_e")
+
+
+def near_in_time(asks: DataFrame, marks: DataFrame, key: str, day: str, mark_day: str, days: int, name: str) -> DataFrame:
+    """asks with a boolean: whether a mark of the key lies within so many days, before or after.
+
+    The nearest mark on either side decides, found by one range window over the key's rows; no
+    ask is paired with a mark. Asks without key or day have none near.
+    """
+    at = lambda c: F.datediff(c, F.to_date(F.lit("1970-01-01")))
+    m = marks.select(key, F.col(mark_day).alias(day)).distinct().withColumn("_mark", F.lit(1))
+    w = Window.partitionBy(key).orderBy(at(day)).rangeBetween(-days, days)
+    x = asks.withColumn("_ask", F.lit(1)).unionByName(m, allowMissingColumns=True)
+    near = F.coalesce(F.max("_mark").over(w) == 1, F.lit(False)) & F.col(key).isNotNull() & F.col(day).isNotNull()
+    return x.withColumn(name, near).where("_ask = 1").drop("_ask", "_mark")
 
 
 def align_outer(target: DataFrame, current: DataFrame, keys: list[str], value: str) -> DataFrame:

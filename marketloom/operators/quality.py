@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from marketloom.operators.joins import near_in_time
+
 
 def bar_flags(bars: DataFrame) -> DataFrame:
     """(rule, symbol, ts): one row per broken rule; nothing is removed.
@@ -62,9 +64,8 @@ def unexplained_jumps(bars: DataFrame, events: DataFrame, *, ratio: float = 1.4,
     """(symbol, ts, lr, explained): moves beyond the ratio, and whether an event lies within the days."""
     w = Window.partitionBy("symbol").orderBy("ts")
     x = bars.select("symbol", "ts", F.log(F.try_divide("close", F.lag("close").over(w))).alias("lr")).where(F.abs("lr") > math.log(ratio))
-    e = events.select(F.col("symbol").alias("_s"), F.col("ex_date").alias("_d")).distinct()
-    near = x.join(e, (x.symbol == e["_s"]) & (F.abs(F.datediff("_d", "ts")) <= days), "left")
-    return near.groupBy("symbol", "ts", "lr").agg(F.bool_or(F.col("_s").isNotNull()).alias("explained"))
+    near = near_in_time(x, events, "symbol", "ts", "ex_date", days, "explained")
+    return near.groupBy("symbol", "ts", "lr").agg(F.bool_or("explained").alias("explained"))
 
 
 def require(df: DataFrame, condition, message: str) -> DataFrame:

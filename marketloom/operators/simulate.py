@@ -10,29 +10,35 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def sign_flip(trades: DataFrame, *, replicates: int, seed: int) -> DataFrame:
+def sign_flip(trades: DataFrame, *, key: list[str], replicates: int, seed: int) -> DataFrame:
     """(observed, replicates, at_least, p): the net result against coin-flipped gross results.
 
-    Costs are not flipped. Each partition of trades adds up its own part of every replicate, so
-    only replicates x partitions numbers are shuffled, however many trades there are.
+    Costs are not flipped. The coin of a trade in a replicate is a bit of a hash of its key, the
+    seed and the replicate, so it does not depend on partitions. Each task adds up its own part of
+    every replicate, a bounded block of trades at a time: only replicates x tasks numbers are
+    shuffled, however many trades there are.
     """
     net = F.col("gross_pnl") - F.col("slippage") - F.col("total_charges")
+    words = -(-replicates // 64)
+    block = max(1, 4_000_000 // (64 * words))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total, i = np.zeros(replicates), 0
+        total = np.zeros(64 * words)
+        salt = (np.arange(1, words + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
         for b in batches:
             gross = b["gross_pnl"].to_numpy(dtype=float)
-            costs = (b["slippage"] + b["total_charges"]).sum()
-            rng = np.random.default_rng([seed, int(b["_part"].iloc[0]) if len(b) else 0, i])
-            i += 1
-            for lo in range(0, len(gross), 10_000):
-                part = gross[lo : lo + 10_000]
-                total += (rng.integers(0, 2, (replicates, len(part))) * 2 - 1) @ part
-            total -= costs
-        yield pd.DataFrame({"replicate": np.arange(replicates), "net": total})
-
-    ordered = trades.select("gross_pnl", "slippage", "total_charges").sort("gross_pnl", "slippage", "total_charges").withColumn("_part", F.spark_partition_id())
-    draws = ordered.mapInPandas(run, "replicate long, net double").groupBy("replicate").agg(F.sum("net").alias("net"))
+            h = b["_key"].to_numpy(dtype=np.int64).view(np.uint64)
+            for lo in range(0, len(gross), block):
+                x = h[lo : lo + block, None] ^ salt
+                for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 1)):
+                    x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+                coins = np.unpackbits(x.view(np.uint8), axis=1).astype(np.int8) * 2 - 1
+                total += gross[lo : lo + block] @ coins
+            total -= (b["slippage"] + b["total_charges"]).sum()
+        yield pd.DataFrame({"replicate": np.arange(replicates), "net": total[:replicates]})
+
+    keyed = trades.select("gross_pnl", "slippage", "total_charges", F.xxhash64(F.lit(seed), *key).alias("_key"))
+    draws = keyed.mapInPandas(run, "replicate long, net double").groupBy("replicate").agg(F.sum("net").alias("net"))
     observed = trades.agg(F.sum(net)).scalar()
     x = draws.withColumn("observed", observed)
     return x.groupBy("observed").agg(F.count(F.lit(1)).alias("replicates"), F.count_if(F.col("net") >= F.col("observed")).alias("at_least")).withColumn("p", (F.col("at_least") + 1) / (F.col("replicates") + 1))

@@ -83,7 +83,6 @@ def bootstrap_means(spark, values: list[float], mean_block: float, replicates: i
     has its own seed sequence, so the result does not depend on how tasks run.
     """
     x = np.asarray(values, dtype=float)
-    stop = 1.0 / max(float(mean_block), 1.0)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -91,13 +90,7 @@ def bootstrap_means(spark, values: list[float], mean_block: float, replicates: i
                 lo = int(chunk) * per_task
                 m = min(per_task, replicates - lo)
                 rng = np.random.default_rng([seed, int(chunk)])
-                jump = rng.random((m, len(x))) < stop
-                jump[:, 0] = True
-                at = np.where(jump, np.arange(len(x))[None, :], 0)
-                begun = np.maximum.accumulate(at, axis=1)
-                start = np.take_along_axis(rng.integers(0, len(x), (m, len(x))), begun, axis=1)
-                index = (start + np.arange(len(x))[None, :] - begun) % len(x)
-                yield pd.DataFrame({"replicate": np.arange(lo, lo + m), "mean": x[index].mean(axis=1)})
+                yield pd.DataFrame({"replicate": np.arange(lo, lo + m), "mean": _resampled_means(x, mean_block, m, rng)})
 
     chunks = -(-replicates // per_task)
     return spark.range(0, chunks, 1, chunks).mapInPandas(run, "replicate long, mean double")
@@ -109,6 +102,52 @@ def one_sided_p(observed: float, means: DataFrame) -> DataFrame:
     return means.agg(((above + 1) / (F.count(F.lit(1)) + 1)).alias("p"), F.expr("percentile(mean, 0.05)").alias("lower"), F.expr("percentile(mean, 0.95)").alias("upper"))
 
 
+def bootstrap(series: DataFrame, group: str, order: str, value: str, *, replicates: int, seed: int, per_task: int = 500, alpha: float = 0.05) -> DataFrame:
+    """(group, n, mean, block, p_one_sided, p_two_sided, lower, upper, verdict) of the mean of every group.
+
+    A group's series, one number per session of a calendar, travels as one array to the tasks of
+    its replicates; each chunk of replicates has a seed of its own, so the result does not depend
+    on how tasks run. p is centred on the null with +1 smoothing; groups of fewer than 8 values
+    are left out. POSITIVE: the lower bound of the means is above 0, NEGATIVE: the upper below it.
+    """
+    packed = series.where(F.col(value).isNotNull()).groupBy(F.col(group).cast("string").alias("g")).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda r: r[value].cast("double")).alias("x")).where(F.size("x") >= 8)
+    chunks = -(-replicates // per_task)
+    spread = packed.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1)))).repartition("g", "chunk")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name, values, chunk in zip(b["g"], b["x"], b["chunk"]):
+                x = np.asarray(values, dtype=float)
+                n, dev = len(x), np.asarray(values, dtype=float) - np.mean(values)
+                lags = min(n - 1, math.ceil(math.sqrt(n)) + 2 * max(5, math.ceil(math.sqrt(math.log10(n)))) + 1)
+                acov = [float(dev[: n - k] @ dev[k:]) / n for k in range(lags + 1)] + [0.0] * 64
+                block = block_length(acov, n)
+                m = min(per_task, replicates - int(chunk) * per_task)
+                means = _resampled_means(x, block, m, np.random.default_rng([seed, int(chunk)]))
+                yield pd.DataFrame({"g": name, "n": n, "observed": float(x.mean()), "block": block, "mean": means})
+
+    means = spread.mapInPandas(run, "g string, n long, observed double, block double, mean double")
+    centred = F.col("mean") - F.col("observed")
+    out = means.groupBy("g", "n", "observed", "block").agg(
+        ((F.count_if(centred >= F.col("observed")) + 1) / (F.count(F.lit(1)) + 1)).alias("p_one_sided"),
+        ((F.count_if(F.abs(centred) >= F.abs("observed")) + 1) / (F.count(F.lit(1)) + 1)).alias("p_two_sided"),
+        F.expr(f"percentile(mean, {alpha})").alias("lower"),
+        F.expr(f"percentile(mean, {1 - alpha})").alias("upper"),
+    )
+    verdict = F.when(F.col("lower") > 0, "POSITIVE").when(F.col("upper") < 0, "NEGATIVE").otherwise("INCONCLUSIVE")
+    return out.withColumn("verdict", verdict).withColumnRenamed("g", group).withColumnRenamed("observed", "mean")
+
+
+def _resampled_means(x: np.ndarray, mean_block: float, m: int, rng: np.random.Generator) -> np.ndarray:
+    """m means of stationary resamples: circular blocks of geometric length."""
+    n = len(x)
+    jump = rng.random((m, n)) < 1.0 / max(float(mean_block), 1.0)
+    jump[:, 0] = True
+    begun = np.maximum.accumulate(np.where(jump, np.arange(n)[None, :], 0), axis=1)
+    start = np.take_along_axis(rng.integers(0, n, (m, n)), begun, axis=1)
+    return x[(start + np.arange(n)[None, :] - begun) % n].mean(axis=1)
+
+
 def deflated_sharpe(series: DataFrame, group: str, value: str, n_trials: int) -> DataFrame:
     """(group, n, sr, skew, kurtosis, z): moments and the deflated score; its probability is normal in z."""
     g = series.groupBy(group).agg(F.count(value).alias("n"), F.avg(value).alias("m"), F.stddev_samp(value).alias("sd"), F.skewness(value).alias("skew"), (F.kurtosis(value) + 3).alias("kurtosis"))

@@ -75,7 +75,7 @@ def regime_labels(spark, d):
     w = I.by_symbol()
     x = daily_bars(spark, d).withColumn("lr", F.log(F.col("close") / F.lag("close").over(w)))
     x = x.withColumn("vol", I.full_window(F.stddev_samp, F.col("lr"), 20, w)).withColumn("trend", I.change("close", 20))
-    x = x.withColumn("mid", F.expr("percentile(vol, 0.5)").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    x = I.expanding_median(x.select("symbol", "ts", "vol", "trend"), "vol", "mid")
     x = x.select("symbol", "ts", F.lag("vol").over(w).alias("v"), F.lag("mid").over(w).alias("m"), F.lag("trend").over(w).alias("t")).where("v is not null and t is not null")
     return x.select("symbol", "ts", F.when(F.col("v") > F.col("m"), "HIGH").otherwise("LOW").alias("volatility"), F.when(F.col("t") > 0, "UP").otherwise("DOWN").alias("trend"))
 
@@ -106,7 +106,8 @@ def universe_turnover(spark, d):
 
 def baseline_sign_flip(spark, d):
     """O-S12, O-T8: how often coin-flipped sides do at least as well as the signals."""
-    return R.sign_flip(strategies._trades(spark, d).select("gross_pnl", "slippage", "total_charges"), replicates=2000, seed=7)
+    x = R.sign_flip(strategies._trades(spark, d), key=["symbol", "session", "entry_time"], replicates=2000, seed=7)
+    return x.select(r6(F.col("observed")).alias("observed"), "replicates", "at_least", r6(F.col("p")).alias("p"))
 
 
 _NAMES = "ledger_orders ledger_monthly id_rollup id_resolve id_links_evidence id_last_before regime_labels describe_series flag_counts universe_turnover baseline_sign_flip"

@@ -75,10 +75,8 @@ def join_interval(spark, d):
 
 def join_band(spark, d):
     """O-J10: whether a user's error has a purchase within two days."""
-    e = _errors(spark, d)
-    p = table(spark, d, "events").where("event_type = 'purchase'").select(F.col("user_id").alias("u"), F.to_date("ts").alias("day")).distinct()
-    j = e.join(p, (e.user_id == p.u) & (F.abs(F.datediff("day", "ex_date")) <= 2), "left")
-    return j.groupBy("event_id").agg(F.coalesce(F.bool_or(F.col("u").isNotNull()), F.lit(False)).cast("int").alias("explained"))
+    bought = table(spark, d, "events").where("event_type = 'purchase'").select("user_id", F.to_date("ts").alias("day"))
+    return J.near_in_time(_errors(spark, d), bought, "user_id", "ex_date", "day", 2, "explained").select("event_id", F.col("explained").cast("int").alias("explained"))
 
 
 def join_before_after(spark, d):
@@ -324,7 +322,7 @@ SQL = {
     "join_band": f"with {_E}, p as (select distinct user_id, ts::date as day from events where event_type = 'purchase') select event_id, (exists (select 1 from p where p.user_id = err.user_id and abs(p.day - err.ex_date) <= 2))::int as explained from err",
     "join_before_after": f"with {_E} select event_id, (select max(date) from ses where ses.user_id = err.user_id and date < ex_date) as t0, (select min(date) from ses where ses.user_id = err.user_id and date >= ex_date and date <= ex_date + 10) as t1 from err",
     "join_theta_change": f"with {LIQUID}, x as (select entity, s_nationkey as n, min(date) as first, max(date) as last from liquid join supplier on s_suppkey = entity group by 1, 2) select a.entity as old, b.entity as new, 'SYMBOL_CHANGE' as evidence from x a join x b on a.n = b.n and a.entity <> b.entity and abs(b.first - (a.last - interval 82 month)::date) <= 2",
-    "join_jump_pairs": f"with {BARS}, x as (select symbol, ts, row_number() over w as i, ln(close / lag(close) over w) as lr from bars window w as (partition by symbol order by ts)), j as (select * from x where abs(lr) > 1.5) select a.symbol, a.ts as jump, b.ts as reversal from j a join j b on a.symbol = b.symbol and b.i - a.i between 2 and 20 and sign(a.lr) = -sign(b.lr) and abs(a.lr + b.lr) < 0.15",
+    "join_jump_pairs": f"with {BARS}, x as (select symbol, ts, row_number() over w as i, ln(close / lag(close) over w) as lr from bars window w as (partition by symbol order by ts)), j as (select * from x where abs(lr) > ln(1.4)) select a.symbol, a.ts as jump, b.ts as reversal from j a join j b on a.symbol = b.symbol and b.i - a.i between 2 and 20 and sign(a.lr) = -sign(b.lr) and abs(a.lr + b.lr) < 0.15",
     "join_contains": "with e as (select *, count(*) filter (event_type = 'error') over (partition by user_id order by ts, event_id rows unbounded preceding) as span from events where event_type in ('error', 'purchase')) select event_id, span from e where event_type = 'purchase'",
     "join_gap_exists": f"with {BARS}, p as (select ts, row_number() over (order by ts) as pos from (select distinct ts from bars)) select symbol, ts, coalesce(pos - lag(pos) over (partition by symbol order by ts) > 1, false)::int as spans_gap from bars join p using (ts)",
     "join_outer_align": "with n as (select o_custkey, count(*) filter (year(o_orderdate) = 1997) as target, count(*) filter (year(o_orderdate) = 1996) as held from orders group by 1) select o_custkey, target, held, target - held as change from n where target <> held",

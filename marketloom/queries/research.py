@@ -15,29 +15,11 @@ from marketloom.operators import stats as T
 from marketloom.plans.bars import BARS, HOURS, LIQUID, MONTHS, daily_bars, hourly_bars, liquidity_panel, month_panel, r6
 from marketloom.session import clean_key, known, table
 
-# Every branch of the subject grammar: subject, kind, factor.
-SUBJECTS = [
-    ("Bonus issue 1:1", "BONUS", 0.5),
-    ("Bonus 3:2", "BONUS", 0.4),
-    ("Face Value Split From Rs 10 To Rs 2", "SPLIT", 0.2),
-    ("Fv Spl-Rs10 To Rs2", "SPLIT", 0.2),
-    ("Div fin-10% + spl-5%", "DIVIDEND", None),
-    ("Bonus 1:1/ Face Value Split Rs.10/- To Rs.5/-", "BONUS+SPLIT", 0.25),
-    ("Consolidation of shares Rs 1 to Rs 10", "CONSOLIDATION", None),
-    ("Bonus Debentures 1:1", "NON_EQUITY_BONUS", None),
-    ("Stock split", "UNPARSED_BONUS_SPLIT", None),
-    ("Rights 1:5 @ Premium Rs 20", "RIGHTS", None),
-    ("Interim Dividend - Rs 3", "DIVIDEND", None),
-    ("Annual General Meeting", "OTHER", None),
-    ("Sub-division   from Rs 5 to Rs 1", "SPLIT", 0.2),
-]
-
-
 def func_subjects(spark, d):
-    """O-F1: kind and factor of corporate-action subjects."""
-    x = spark.createDataFrame([(i, s) for i, (s, _, _) in enumerate(SUBJECTS)], "id int, subject string")
-    kind, factor = subject_kind_factor(F.col("subject"))
-    return x.select("id", kind.alias("kind"), r6(factor).alias("factor"))
+    """O-F1: kind and factor of the event subjects of all return rows."""
+    x = table(spark, d, "ret1_1_large_residuals").select("residual_id", "event_subject").distinct()
+    kind, factor = subject_kind_factor(F.col("event_subject"))
+    return x.select("residual_id", kind.alias("kind"), r6(factor).alias("factor"))
 
 
 def func_continuity(spark, d):
@@ -139,15 +121,9 @@ def stat_deflated(spark, d):
 
 
 def stat_bootstrap(spark, d):
-    """O-T4 to O-T7: block length, one-sided p and bounds of the mean daily change of one symbol."""
-    x = _changes(spark, d).where("symbol = '1-URGENT' and c is not null")
-    series = [r["c"] for r in x.select("ts", "c").sort("ts").collect()]  # one number per session
-    n, m = len(series), sum(series) / len(series)
-    dev = [v - m for v in series]
-    lags = math.ceil(math.sqrt(n)) + 2 * max(5, math.ceil(math.sqrt(math.log10(n)))) + 1
-    acov = [sum(dev[i] * dev[i + k] for i in range(n - k)) / n for k in range(lags + 1)]
-    block = T.block_length(acov, n)
-    return T.one_sided_p(m, T.bootstrap_means(spark, series, block, 10_000, 20240101)).withColumn("block", F.lit(block))
+    """O-T4 to O-T7: block length, one- and two-sided p, bounds and verdict of every symbol's mean daily change."""
+    x = T.bootstrap(_changes(spark, d).where("c is not null"), "symbol", "ts", "c", replicates=10_000, seed=20240101)
+    return x.select("symbol", "n", *[r6(F.col(c)).alias(c) for c in ("mean", "block", "p_one_sided", "p_two_sided", "lower", "upper")], "verdict")
 
 
 def stat_randomisation(spark, d):
@@ -192,10 +168,17 @@ QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 _W = "(partition by symbol order by ts"
 _R = "round({0}, 6) + 0.0 as {0}"
-_LINKS = """link as (select s_suppkey as a, s_suppkey + 7 as b, date '2000-01-01' + s_suppkey::int as effective from supplier where s_suppkey % 4 in (0, 1)),
-nodes as (select s_suppkey as node from supplier union select b from link),
-first as (select node, date '1990-01-01' + ((node * 37) % 100)::int as first from nodes)"""
-_REACH = "e as (select a, b from link where {0} union select b, a from link where {0}), reach as (select node as a, node as b from nodes union select r.a, e.b from reach r join e on r.b = e.a)"
+_T = "trim({0}, ' ' || chr(9) || chr(10) || chr(13))"
+_KNOWN = "{} <= date '2020-06-30'"
+_LINKS = f"""seg as (select {_T.format('segment_id')} as node, first from id1_segments),
+ends as (select {_T.format('from_segment')} as a, {_T.format('to_segment')} as b, effective from returns_links),
+link as (select distinct a, b from ends where a <> '' and b <> '' and {{known}}),
+nodes as (select node, first from seg where {{held}} union all select node, date '9999-12-31' from (select a as node from link union select b from link) where node not in (select node from seg))"""
+# minimum labels spread along links until none changes; rank numbers the nodes in the order that decides
+_GROUPS = """ranked as (select node, row_number() over (order by {order}) as r from nodes),
+e as materialized (select x.r as a, y.r as b from link join ranked x on x.node = link.a join ranked y on y.node = link.b union select y.r, x.r from link join ranked x on x.node = link.a join ranked y on y.node = link.b),
+reach as (select r as a, r as b from ranked union select reach.a, e.b from reach join e on e.a = reach.b),
+best as (select a, min(b) as g from reach group by 1) select n.node, m.node as entity from best join ranked n on n.r = best.a join ranked m on m.r = best.g"""
 _RET = f"""{BARS}, mark as (select symbol, ts, volume from bars), ev as (select symbol, ts - 1 as ex_date from bars where volume >= 3),
 x as (select symbol as entity, ts as date, close, lag(ts) over {_W}) as prev_date, lag(close) over {_W}) as prev_close from bars),
 hit as (select e.symbol as entity, b.ts as date, count(*) as n from ev e asof join bars b on e.symbol = b.symbol and e.ex_date <= b.ts group by 1, 2),
@@ -207,12 +190,17 @@ _CH = f"{BARS}, ch as (select symbol, ts, (close / lag(close) over {_W}) - 1) /
 _TESTS = f"{MONTHS}, tests as (select entity as name, min(value) / max(value) as p from months group by 1)"
 _LUCKY = (1 - 0.5772156649015329) * T.NORMAL.inv_cdf(0.8) + 0.5772156649015329 * T.NORMAL.inv_cdf(1 - 1 / (5 * math.e))
 SQL = {
-    "func_subjects": "select id::int as id, kind, factor::double as factor from (values " + ", ".join(f"({i}, '{k}', {'null' if f is None else f})" for i, (_, k, f) in enumerate(SUBJECTS)) + ") t(id, kind, factor)",
+    "func_subjects": r"""with x as (select distinct residual_id, lower(coalesce(event_subject, '')) as s from ret1_1_large_residuals),
+y as (select *, regexp_extract(s, '\bbon(?:us)?\b[^0-9]*([0-9]+) ?: ?([0-9]+)', ['a', 'h']) as b, regexp_extract(s, '(?:\bsplit\b|\bsub-?division\b|\bspl\b)[^0-9]*([0-9.]+)[^0-9]*\bto\b[^0-9]*([0-9.]+)', ['o', 'n']) as p from x),
+z as (select *, try_cast(b.a as double) as a, try_cast(b.h as double) as h, try_cast(p.o as double) as o, try_cast(p.n as double) as n from y),
+k as (select *, coalesce(a > 0 and h > 0, false) as bonus, coalesce(n > 0 and n < o, false) as split from z),
+f as (select residual_id, bonus, split, a, h, o, n, case when contains(s, 'consolidat') then 'CONSOLIDATION' when regexp_matches(s, '\bbon(us)?\b') and regexp_matches(s, 'debenture|preference|\bdvr\b') then 'NON_EQUITY_BONUS' when (regexp_matches(s, '\bsplit|\bsub-?division') and not split) or (regexp_matches(s, '\bbon(us)?\b') and not bonus) then 'UNPARSED_BONUS_SPLIT' when bonus and split then 'BONUS+SPLIT' when bonus then 'BONUS' when split then 'SPLIT' when contains(s, 'right') then 'RIGHTS' when contains(s, 'div') then 'DIVIDEND' else 'OTHER' end as kind from k)
+select residual_id, kind, round(case when kind in ('BONUS', 'SPLIT', 'BONUS+SPLIT') then case when bonus then h / (a + h) else 1 end * case when split then n / o else 1 end end, 6) + 0.0 as factor from f""",
     "func_continuity": "with x as (select distinct res_id, factor as f, raw_ratio as r from id1_later_symbol_ca_resolution where factor > 0 and raw_ratio > 0 and not isnan(factor) and not isnan(raw_ratio)) select res_id, case when abs(ln(f)) < ln(1.25) then 'INCONCLUSIVE' when abs(ln(r / f)) < ln(1.25) and abs(ln(r / f)) < abs(ln(r)) then 'VALIDATED' else 'DISCREPANT' end as status from x",
     "func_isclose": "select distinct residual_id from ret1_1_large_residuals where not isnan(prev_close) and not isnan(close) and not isinf(close) and abs(prev_close - close) <= 1e-8 + 0.0001 * abs(close)",
     "id_segments": f"with {LIQUID}, p as (select date, row_number() over (order by date) as pos from (select distinct date from liquid)), a as (select entity, date, coalesce(pos - lag(pos) over (partition by entity order by pos) > 3, true)::int as new from liquid join p using (date)), b as (select *, sum(new) over (partition by entity order by date rows unbounded preceding)::bigint as part from a) select entity, part, min(date) as first, max(date) as last, count(*) as n_sessions from b group by 1, 2",
-    "id_entities": f"with recursive {_LINKS}, {_REACH.format('true')} select a as node, min(b) as entity from reach group by 1",
-    "id_entities_as_of": f"with recursive {_LINKS}, {_REACH.format(chr(39).join(['effective <= date ', '2000-02-20', '']))} select a as node, arg_min(b, (first, b)) as entity from reach join first on first.node = reach.b group by 1",
+    "id_entities": f"with recursive {_LINKS.format(known='true', held='true')}, {_GROUPS.format(order='node')}",
+    "id_entities_as_of": f"with recursive {_LINKS.format(known=_KNOWN.format('effective'), held=_KNOWN.format('first'))}, {_GROUPS.format(order='first, node')}",
     "pit_universe": f"""with {LIQUID}, p as (select date, row_number() over (order by date) as pos from (select distinct date from liquid)),
 ends as (select max(date) as sd, max(pos) as e from p group by date_trunc('month', date) having max(pos) >= 63),
 h as (select sd, entity, value, l.date from ends join p on p.pos between e - 62 and e join liquid l on l.date = p.date),

@@ -39,8 +39,16 @@ def label_instruments(spark, d):
 
 
 def compare_reports(spark, d):
-    """O-G15: strategy less buy-and-hold, from rounded figures."""
-    return strategies.bt_report(spark, d).select("symbol", (F.bround("max_drawdown_pct", 2) - F.bround("exposure_pct", 2)).cast("decimal(18,2)").cast("double").alias("difference"))
+    """O-G15, O-G16: strategy return less the benchmark's, from rounded figures, the benchmark's drawdown and Sharpe, and the verdict by margin."""
+    from marketloom.operators.backtest import sharpe
+
+    bars = daily_bars(spark, d)
+    curve = bars.withColumn("peak", F.max("close").over(I.by_symbol().rowsBetween(*I.UNTIL_NOW))).withColumn("r", I.change("close", 1))
+    held = curve.groupBy("symbol").agg((F.min(F.col("close") / F.col("peak") - 1) * 100).alias("dd"), sharpe(F.col("r")).alias("held_sharpe"))
+    x = strategies.bt_report(spark, d).join(held, "symbol")
+    margin = F.bround("return_pct", 2) - F.bround("buy_hold_pct", 2)
+    verdict = F.when(margin > 10, "BEATS").when(margin > 0, "SLIGHTLY_BETTER").otherwise("WORSE")
+    return x.select("symbol", margin.cast("decimal(18,2)").cast("double").alias("strategy_minus_benchmark"), r6(F.col("dd")).alias("benchmark_max_dd"), r6(F.col("held_sharpe")).alias("benchmark_sharpe"), verdict.alias("verdict"))
 
 
 def status_untradable(spark, d):
@@ -99,7 +107,7 @@ SQL = {
     "study_exit_bar": f"with {HOURS}, s as (select symbol, session, max(volume) filter (time = '14:00') as v0, max(volume) filter (time = '15:00') as v1, max(open) filter (time = '14:00') as o0, max(open) filter (time = '15:00') as o1 from hours group by 1, 2) select symbol, round(avg((v0 is not null and v1 is not null)::int), 6) + 0.0 as both, round(quantile_cont(v1::double / v0, 0.5), 6) + 0.0 as volume_ratio, round(quantile_cont(abs(o1 / nullif(o0, 0) - 1) * 10000, 0.9), 6) + 0.0 as gap_p90 from s group by 1",
     "study_parts": f"with {BARS}, r as (select symbol, close / lag(close) over {_W}) - 1 as c, row_number() over {_W}) as i, count(*) over (partition by symbol) as n from bars), p as (select symbol, c, case when i <= round_even(n * 0.5, 0) then 'first' when i <= round_even(n * 0.75, 0) then 'second' else 'third' end as part from r) select symbol, part, count(c) as n, round(avg(c), 6) + 0.0 as mean, round(stddev_samp(c), 6) + 0.0 as sd from p group by 1, 2",
     "label_instruments": "select segment_id, case when coalesce(isin, '') = '' then 'UNKNOWN' when starts_with(isin, 'ZZF') then 'FUND_UNIT' when starts_with(isin, 'ZZE') then 'EQUITY' else 'OTHER' end as kind, concat_ws(' ', symbol, case when removed_on is not null then 'removed' end) as label, round_even(n_sessions / 4.0::double, 0)::bigint as quarters from id1_segments",
-    "compare_reports": f"select symbol, (round_even(max_drawdown_pct, 2) - round_even(exposure_pct, 2))::decimal(18,2)::double as difference from ({strategies.SQL['bt_report']})",
+    "compare_reports": f"with rep as ({strategies.SQL['bt_report']}), {BARS}, b as (select symbol, ts, close, max(close) over {_W} rows unbounded preceding) as peak, close / lag(close) over {_W}) - 1 as r from bars), h as (select symbol, min(close / peak - 1) * 100 as dd, avg(r) / stddev_samp(r) * sqrt(252) as sh from b group by 1), m as (select symbol, round_even(return_pct, 2) - round_even(buy_hold_pct, 2) as m from rep) select symbol, m::decimal(18,2)::double as strategy_minus_benchmark, round(dd, 6) + 0.0 as benchmark_max_dd, round(sh, 6) + 0.0 as benchmark_sharpe, case when m > 10 then 'BEATS' when m > 0 then 'SLIGHTLY_BETTER' else 'WORSE' end as verdict from m join h using (symbol)",
     "status_untradable": f"with {HOURS}, n as (select symbol, session, count(*) filter (time between '09:00' and '15:00') as k from hours group by 1, 2) select symbol, 7 - k as lacking, count(*) as sessions from n group by 1, 2",
     "check_ranks": "with l as (select * from univ1_pit_universe qualify row_number() over (partition by pool, selection_date, entity_id order by recorded_on desc, univ_id desc) = 1), g as (select pool, selection_date, count(*) as n, count(distinct rank) as k, max(rank) as top from l where rank >= 1 and not isnan(rank) group by 1, 2) select pool, count(*) as selections, count(*) filter (n <> k or n <> top) as irregular from g group by 1",
     "rates_usable": "with r as (select distinct on (rate_id) * from delivery_nse_eq_s2mom_v1_dated) select component, count(*) as rows, count(*) filter (rate is not null and not isnan(rate) and basis is not null) as usable, count(*) filter (known_on > \"from\") as late, count(*) filter (\"to\" is null) as open from r group by 1",

@@ -59,8 +59,8 @@ def win_formation(spark, d):
 
 def win_expanding_median(spark, d):
     """O-W9: median of all values up to each month."""
-    w = Window.partitionBy("entity").orderBy("month").rowsBetween(*I.UNTIL_NOW)
-    return month_panel(spark, d).select("entity", "month", r6(F.expr("percentile(value, 0.5)").over(w)).alias("median_so_far"))
+    x = I.expanding_median(month_panel(spark, d), "value", "median", "entity", "month")
+    return x.select("entity", "month", r6(F.col("median")).alias("median_so_far"))
 
 
 def win_cumcount(spark, d):

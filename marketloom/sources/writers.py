@@ -41,6 +41,13 @@ def write_bars_csv(df: DataFrame, path: str) -> None:
     fs.rename(draft, target)
 
 
+def snapshot_raw(df: DataFrame, path: str, manifest: str, *, kind: str) -> None:
+    """An immutable snapshot (fails if it exists) and its row in a JSON-lines manifest: path, kind, rows, checksum."""
+    df.write.mode("errorifexists").parquet(path)
+    kept = fingerprint(df.sparkSession.read.parquet(path))
+    append_log(kept.select(F.lit(path).alias("path"), F.lit(kind).alias("kind"), F.lit(200).alias("status"), "rows", F.col("checksum").cast("string").alias("checksum")), manifest)
+
+
 def append_log(df: DataFrame, path: str) -> None:
     """Rows at the end of a JSON-lines log."""
     df.write.mode("append").json(path)
