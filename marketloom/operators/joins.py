@@ -27,17 +27,14 @@ def asof_forward(events: DataFrame, rows: DataFrame, key: str, event_day: str, r
 def interval_lookup(facts: DataFrame, periods: DataFrame, key: str, day: str, start: str, end: str, value: str) -> DataFrame:
     """facts with the value of the one period in force; raises if none or several are.
 
-    That no two periods of a key overlap is checked on the periods alone, so the facts only meet
-    them in a left join, without an exchange as long as Spark can broadcast the periods.
+    For period tables: the periods of a key travel as one array, so a fact meets one row and is
+    looked at once, without an exchange of the facts as long as Spark can broadcast the periods.
     """
-    order = Window.partitionBy(key).orderBy("_s")
-    p = periods.select(key, F.col(start).alias("_s"), F.col(end).alias("_e"), F.col(value).alias(value)).where("_s is not null")
-    later = F.lead("_s").over(order)
-    apart = later.isNull() | F.coalesce(F.col("_e") < later, F.lit(False))
-    p = p.withColumn("_apart", apart).withColumn("_s", F.when(F.col("_apart"), F.col("_s")).otherwise(F.raise_error(F.lit("not exactly one period in force")).cast("date"))).drop("_apart")
-    hit = facts.join(p, (facts[key] == p[key]) & (facts[day] >= p["_s"]) & (p["_e"].isNull() | (facts[day] <= p["_e"])), "left").drop(p[key])
-    checked = F.when(F.col("_s").isNotNull(), F.col(value)).otherwise(F.raise_error(F.lit("not exactly one period in force")).cast("double"))
-    return hit.withColumn(value, checked).drop("_s", "_e")
+    p = periods.where(F.col(start).isNotNull()).groupBy(key).agg(F.collect_list(F.struct(F.col(start).alias("s"), F.col(end).alias("e"), F.col(value).alias("v"))).alias("_periods"))
+    hit = facts.join(p, key, "left")
+    in_force = F.filter("_periods", lambda r: (r["s"] <= F.col(day)) & (r["e"].isNull() | (F.col(day) <= r["e"])))
+    checked = F.when(F.coalesce(F.size(in_force), F.lit(0)) == 1, F.get(in_force, F.lit(0))["v"]).otherwise(F.raise_error(F.lit("not exactly one period in force")).cast("double"))
+    return hit.withColumn(value, checked).drop("_periods")
 
 
 def near_in_time(asks: DataFrame, marks: DataFrame, key: str, day: str, mark_day: str, days: int, name: str) -> DataFrame:

@@ -111,7 +111,8 @@ def read_exchange_archives(spark: SparkSession, path: str, *, session: str | Non
     one = F.coalesce(F.min("date").over(own) == F.max("date").over(own), F.lit(True))
     if session:
         one &= F.coalesce(F.col("date") == F.to_date(F.regexp_extract("_file", session, 1), "yyyyMMdd"), F.lit(False))
-    return out.where(F.when(one, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("dates do not name the file's session: "), F.col("_file"))).cast("boolean"))).drop("_file")
+    wrong = F.raise_error(F.concat(F.lit("dates do not name the file's session: "), F.col("_file"))).cast("boolean")
+    return out.withColumn("_one", one).where(F.when(F.col("_one"), F.lit(True)).otherwise(wrong)).drop("_file", "_one")
 
 
 def panel_of(rows: DataFrame, *, new_from: str, specials: bool = False) -> DataFrame:
